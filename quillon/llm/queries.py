@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mix, tokens
 
 QUERIES = {
+    "op1_mix": mix.op1_mix,
+    "op3_tokens": tokens.op3_tokens,
     "op4_decontaminate": decontaminate.op4_decontaminate,
 }
 ORACLES = {
