@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mix, tokens
+from . import decontaminate, jaccard, language, mix, quality, tokens
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
     "op3_tokens": tokens.op3_tokens,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op8_quality": quality.op8_quality,
+    "op10_language": language.op10_language,
 }
 ORACLES = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
