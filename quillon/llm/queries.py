@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mix, quality, tokens
+from . import decontaminate, jaccard, language, mix, neighbours, quality, tokens
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
+    "op2_neighbours": neighbours.op2_neighbours,
     "op3_tokens": tokens.op3_tokens,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_jaccard": jaccard.op6_jaccard,
