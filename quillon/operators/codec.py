@@ -185,19 +185,28 @@ def three_way_errors(rows: DataFrame, eps: Column, keys: list[str]) -> DataFrame
     )
 
 
+def _given(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pack_codes(codes: Column, width: int) -> Column:
     """An array of codes packed most significant bit first, the tail padded with zeros, as binary."""
     if width not in WIDTHS:
         raise ValueError(f"width must be one of {WIDTHS}")
     bits = F.array_join(F.transform(codes, lambda c: F.lpad(F.conv(c.cast("string"), 10, 2), width, "0")), "")
-    size = F.floor((F.length(bits) + 7) / 8).cast("int")
-    byte = lambda i: F.lpad(F.conv(F.rpad(F.substring(bits, i * 8 + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0")
-    text = F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(0), size - 1), byte), "")).otherwise("")
-    return F.unhex(text)
+
+    def pack(b: Column) -> Column:
+        size = F.floor((F.length(b) + 7) / 8).cast("int")
+        byte = lambda i: F.lpad(F.conv(F.rpad(F.substring(b, i * 8 + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0")
+        return F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(0), size - 1), byte), "")).otherwise("")
+
+    return F.unhex(_given(bits, pack))
 
 
 def unpack_codes(packed: Column, width: int, n: Column) -> Column:
     """The n codes of a packed binary."""
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(packed)), lambda i: F.lpad(F.conv(F.hex(F.substring(packed, i, F.lit(1))), 16, 2), 8, "0")), "")
-    code = lambda i: F.conv(F.substring(bits, i * width + 1, F.lit(width)), 2, 10).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), code)).otherwise(F.array().cast("array<int>"))
+    octet = lambda i: F.lpad(F.conv(F.hex(F.substring(packed, i, F.lit(1))), 16, 2), 8, "0")
+    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(packed)), octet), "")
+    code = lambda b: F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.conv(F.substring(b, i * width + 1, F.lit(width)), 2, 10).cast("int"))
+    return F.when(n > 0, _given(bits, code)).otherwise(F.array().cast("array<int>"))

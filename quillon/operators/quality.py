@@ -45,7 +45,7 @@ def shift_test(series: DataFrame, keys: list[str], order: list[str], a: str, b:
     the least (ties: the first shift)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     moved = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("shift"), F.abs(F.col(a) - F.lead(b, k).over(w)).alias("diff")) for i, k in enumerate(shifts)])
-    rows = series.select(*keys, F.explode(moved).alias("m")).select(*keys, "m.*").where("diff IS NOT NULL")
+    rows = series.select(*keys, moved.alias("moved")).select(*keys, F.explode("moved").alias("m")).select(*keys, "m.*").where("diff IS NOT NULL")
     means = rows.groupBy(*keys, "ord", "shift").agg(F.avg("diff").alias("mean_abs_diff"))
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("mean_abs_diff", "ord"))
     return means.withColumn("best", first == 1).drop("ord")

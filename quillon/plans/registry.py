@@ -1,6 +1,8 @@
-"""Queries over the reference's operators, each with the SQL that checks it."""
+"""All queries over the operators, and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import codec_queries, source_queries, study_queries  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
