@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mix, neighbours, pseudonyms, quality, separators, tokens
+from . import decontaminate, jaccard, language, lines, mix, neighbours, pseudonyms, quality, separators, tokens
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_lines": lines.op7_lines,
     "op8_quality": quality.op8_quality,
     "op9_token_counts": separators.op9_token_counts,
     "op10_language": language.op10_language,
