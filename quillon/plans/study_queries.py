@@ -41,7 +41,7 @@ def boot_sql(units: str, select: str, draws: int, seed: int) -> str:
 @query(
     "bootstrap_ratio_ci",
     boot_sql(
-        "SELECT l_linestatus AS k, l_orderkey * 10000000000 + l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey AS unit, ln((1 - l_discount) * (1 + l_tax)) AS value FROM lineitem WHERE l_orderkey <= 60",
+        "SELECT l_linestatus AS k, l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS unit, ln((1 - l_discount) * (1 + l_tax)) AS value FROM lineitem WHERE l_orderkey <= 60",
         "SELECT k AS path, round(exp(quantile_cont(mean, 0.025)), 6) AS low, round(exp(quantile_cont(mean, 0.975)), 6) AS high, CASE WHEN exp(quantile_cont(mean, 0.975)) < 1 THEN 'faster' WHEN exp(quantile_cont(mean, 0.025)) < 1 THEN 'undetermined' ELSE 'slower' END AS verdict FROM m GROUP BY k",
         400, 1,
     ),
