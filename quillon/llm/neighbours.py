@@ -6,7 +6,7 @@
    in memory by every worker; beam search on it finds the centroids near a vector.
 3. Every vector goes to the list of its nearest centroid; one near a boundary is replicated to
    further lists, up to `REPLICAS`, if they are within `CLOSURE` of the nearest distance and no
-   list already taken is nearer to that centroid than the vector is.
+   list already taken is nearer to that centroid than `SPREAD` times the vector's distance.
 4. A query takes the lists whose centroid is within `PROBE` of its nearest centroid's distance, and
    more, if these hold too few vectors to fill its answer.
 5. Lists and the queries of a list are dealt into chunks of about `CHUNK`, so no group is larger;
@@ -37,8 +37,8 @@ from .training import bounded_sample
 
 SAMPLE = 32_768
 LIST_ROWS, MAX_LISTS = 256, 4096
-REPLICAS, CLOSURE = 4, 0.15
-PROBE, BEAM = 0.35, 96
+REPLICAS, CLOSURE, SPREAD = 4, 0.15, 0.5
+PROBE, BEAM = 0.35, 48
 DEGREE, LONG_EDGES, ENTRIES = 16, 4, 16
 CHUNK = 256
 SEED = 5
@@ -164,7 +164,7 @@ def _assign(rows: DataFrame, shared) -> DataFrame:
                     ok = (ids[:, j] >= 0) & (d[:, j] <= (1 + CLOSURE) * d[:, 0]) & (sum((c >= 0).astype(int) for c in chosen) < REPLICAS)
                     for c in chosen:
                         gap = np.sqrt(((graph.c[np.maximum(c, 0)] - graph.c[np.maximum(ids[:, j], 0)]) ** 2).sum(1))
-                        ok &= (c < 0) | (gap > d[:, j])
+                        ok &= (c < 0) | (gap > SPREAD * d[:, j])
                     if ok.any():
                         take.append((np.flatnonzero(ok), ids[ok, j], False))
                         chosen.append(np.where(ok, ids[:, j], -1))
