@@ -90,5 +90,6 @@ def missing(keys: DataFrame, docs: DataFrame, on: str) -> DataFrame:
 
 def require_count(rows: DataFrame, least: int, what: str) -> DataFrame:
     """rows, or an error when the query runs if there are fewer than least."""
-    n = rows.agg(F.count("*").alias("count_n")).select(F.assert_true(F.col("count_n") >= least, F.lit(f"fewer than {least} {what}")).alias("count_ok"))
-    return rows.crossJoin(F.broadcast(n)).drop("count_ok") if least else rows
+    n = rows.agg(F.count("*").alias("count_n"))
+    fine = F.when(F.col("count_n") >= least, F.lit(True)).otherwise(F.raise_error(F.lit(f"fewer than {least} {what}")).cast("boolean"))
+    return rows.crossJoin(F.broadcast(n)).where(fine).drop("count_n")  # a filter, so that it is not pruned

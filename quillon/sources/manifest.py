@@ -21,7 +21,7 @@ def read_manifest(spark: SparkSession, path: str, version: int = VERSION) -> Dat
     """One row per manifest; reading another version is an error."""
     rows = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
     bad = F.concat(F.lit("unsupported manifest version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("none")))
-    return rows.withColumn("schema_version", F.when(F.col("schema_version") == version, F.col("schema_version")).otherwise(F.raise_error(bad).cast("int")))
+    return rows.where(F.when(F.col("schema_version") == version, F.lit(True)).otherwise(F.raise_error(bad).cast("boolean")))
 
 
 def write_manifest(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -39,6 +39,9 @@ def read(payload: Column, strict: bool = True) -> Column:
         .when(F.coalesce(header["codec_version"], F.lit(-1)) != VERSION, "version")
         .when(F.coalesce(header["crc32"], F.lit(-1)) != F.crc32(body), "crc")
     )
-    if strict:
-        problem = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("bad payload: "), problem)).cast("string"))
+    if strict:  # on every field, as those that are not read are pruned
+        error = F.raise_error(F.concat(F.lit("bad payload: "), problem))
+        header = F.when(problem.isNull(), header).otherwise(F.from_json(error.cast("string"), HEADER))
+        body = F.when(problem.isNull(), body).otherwise(error.cast("binary"))
+        problem = F.when(problem.isNotNull(), error.cast("string"))
     return F.struct(header.alias("header"), body.alias("body"), problem.alias("problem"))
