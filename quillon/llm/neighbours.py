@@ -226,7 +226,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", e
     if not total:
         return spark.createDataFrame([], empty)
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    entries = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy")
+    entries = rows.withColumn("copy", F.dense_rank().over(same)).where(F.col("copy") <= k + 1).drop("copy").dropDuplicates(["embedding", "vec_id"])
     sample = bounded_sample(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), F.col("vec_id"), SAMPLE, SEED)
     fit = np.array([r["embedding"] for r in sample.orderBy("vec_id").select("embedding").toLocalIterator()], np.float64)
     centroids = balanced_centroids(fit, int(min(MAX_LISTS, len(fit), -(-total // LIST_ROWS))))
