@@ -25,11 +25,11 @@ from __future__ import annotations
 import json
 import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ END_ID = 2
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 19
 PERCENTILE = 98
-CACHE_WORDS = 300_000
+CACHE_WORDS, KEPT_WORDS = 600_000, 300_000
 MAGIC = b"QPFR"
 
 SEGMENTS = "part int, segment int, doc_ids array<bigint>, n_tokens array<int>, local_start bigint, n_ids bigint, payload binary"
@@ -94,8 +94,12 @@ def unpack_ids(payload: bytes, first: int = 0, last: int | None = None, block_id
 
 
 _PLAIN = re.compile(rb"[a-z]+").fullmatch
-#: ASCII letters and digits (and spaces) to "a", points and commas to ".", all else to "!".
-_KINDS = bytes(0x2E if b in b".," else 0x61 if chr(b).isalnum() and b < 128 or b in b" \t\n\r\x0b\x0c" else 0x21 for b in range(256))
+#: Latin-1 letters: composed already, and lower-cased one by one.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Bytes of ASCII and of U+00C0 to U+00FF in UTF-8.
+_LATIN_BYTES = bytes([*range(0xC0), 0xC3])
+#: Letters, digits and spaces to "a", points and commas to ".", all else to "!".
+_KINDS = bytes(0x2E if b in b".," else 0x61 if b >= 128 or chr(b).isalnum() or b in b" \t\n\r\x0b\x0c" else 0x21 for b in range(256))
 
 
 def _byte_chars() -> list[str]:
@@ -126,11 +130,18 @@ class WordEncoder(dict):
         self.flat, self.starts, self.lengths = array("I", [self.end_id]), array("q", [0]), array("i", [1])
         self[None] = 0
 
+    def trim(self) -> None:
+        """Forget all but the chunks met first, which are the most frequent ones."""
+        kept = dict(islice(self.items(), KEPT_WORDS))
+        self.clear()
+        self.update(kept)
+        del self.flat[self.starts[KEPT_WORDS] :], self.starts[KEPT_WORDS:], self.lengths[KEPT_WORDS:]
+
     def ids_of(self, chunk: bytes) -> list[int]:
         if _PLAIN(chunk):
             return [t.id for t in self.model.tokenize(chunk.decode())]
         text = chunk.decode()
-        if text.isalpha() and max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text):
+        if _LATIN(text):
             return [t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, text.lower().encode())))]
         return self.library.encode(text, add_special_tokens=False).ids
 
@@ -143,9 +154,10 @@ class WordEncoder(dict):
         return k
 
     def chunks(self, text: bytes) -> list[bytes]:
-        """Chunks with the same tokens as the text: ASCII texts are lower-cased and points and commas
-        after a letter or digit cut off, where neither can change a token."""
-        if b"<|" not in text and text.isascii():
+        """Chunks with the same tokens as the text: Latin-1 texts are lower-cased in ASCII and points and
+        commas after a letter or digit cut off, where neither can change a token. (Of U+00C0 to U+00FF
+        only the signs for times and divide are no letters, and there are no combining marks.)"""
+        if b"<|" not in text and not text.translate(None, _LATIN_BYTES) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text:
             text = text.lower()
             kinds = text.translate(_KINDS)
             if b"!." not in kinds and b".." not in kinds:
@@ -155,7 +167,7 @@ class WordEncoder(dict):
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; number of ids of each)."""
         if len(self) > CACHE_WORDS:
-            self.reset()
+            self.trim()
         parts, ends = [], []
         for text in texts:
             parts += self.chunks(text) if text else ()
