@@ -21,6 +21,8 @@ SLICE_BYTES = 2 << 20
 #: Arrow bytes that Spark sends to a Python worker at once.
 ARROW_BYTES = 16 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 
@@ -39,10 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a cut in the lineage that outlives executors."""
+    """Write df to the shared folder and read it back: a cut in the lineage that outlives executors.
+
+    The shuffle files of the write are of no use after it, and Spark is told to remove them then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .common import stage
 from .components import connected_components
 
-MOST_HUBS = 256
+MOST_HUBS = 4096
 
 
-def link_groups(members: DataFrame, extra: list[str], near: Column, carry: list[str], links_of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame | None:
+def link_groups(members: DataFrame, extra: list[str], near: Column, carry: list[str], links_of: Callable[[DataFrame], DataFrame], name: str, refine: Callable[[DataFrame], tuple[DataFrame, str, Column]] | None = None) -> DataFrame | None:
     """class, root of the components of all pairs that share a sig, satisfy `near` and that links_of
     confirms; None if there are no groups.
 
@@ -21,7 +21,8 @@ def link_groups(members: DataFrame, extra: list[str], near: Column, carry: list[
     shares is compared with the others, then up to MOST_HUBS at a time; near is a condition on extra
     and hub_* columns that is evaluated inside the join. links_of gets pairs a < b, with a_* and b_*
     of the columns in carry, and returns those that link. Hubs leave their group once compared, and
-    groups in one component end, so every pair is compared or connected at the end."""
+    groups in one component end, so every pair is compared or connected at the end. After the first
+    round, with one hub a group, refine may add a column to what is left and give a sharper near."""
     columns = ["class", *extra]
     members = members.withColumn("label", F.col("class"))
     labels: DataFrame | None = None
@@ -39,20 +40,24 @@ def link_groups(members: DataFrame, extra: list[str], near: Column, carry: list[
         pairs = members.join(hubs, "sig").where((F.col("label") != F.col("hub_label")) & near)
         pairs = pairs.select(side("class", True).alias("a"), side("class", False).alias("b"), *[side(c, x == "a").alias(f"{x}_{c}") for c in carry for x in "ab"]).distinct()
         links = stage(links_of(pairs).select("a", "b"), f"{name}-links")
-        if labels is None:
-            edges = links
-        else:
-            of = lambda x: labels.select(F.col("class").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: B023, E731
-            edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        roots = connected_components(edges).select(F.col("node").alias("label"), "root")
-        moved = roots.withColumnRenamed("label", "class")
-        if labels is not None:
-            kept = labels.withColumnRenamed("root", "label").join(roots, "label", "left").select("class", F.coalesce("root", "label").alias("root"))
-            moved = kept.unionByName(moved)
-        labels = stage(moved, f"{name}-labels")
         rest = members.join(hubs.select("sig", F.col("hub_class").alias("class")), ["sig", "class"], "left_anti")
-        rest = rest.join(roots, "label", "left").select("sig", *columns, "shares", F.coalesce("root", "label").alias("label"))
-        rest = stage(rest, f"{name}-rest")
+        if links.take(1):
+            if labels is None:
+                edges = links
+            else:
+                of = lambda x: labels.select(F.col("class").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: B023, E731
+                edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+            roots = connected_components(edges).select(F.col("node").alias("label"), "root")
+            moved = roots.withColumnRenamed("label", "class")
+            if labels is not None:
+                kept = labels.withColumnRenamed("root", "label").join(roots, "label", "left").select("class", F.coalesce("root", "label").alias("root"))
+                moved = kept.unionByName(moved)
+            labels = stage(moved, f"{name}-labels")
+            rest = rest.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label"))
+        rest = stage(rest.select("sig", *columns, "shares", "label"), f"{name}-rest")
         open_groups = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
         members = rest.join(open_groups, "sig")
         hubs_per_group = MOST_HUBS
+        if refine:
+            members, more, near = refine(members)
+            columns, refine = [*columns, more], None

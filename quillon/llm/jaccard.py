@@ -4,15 +4,21 @@ The shingles of a document are 64-bit hashes, and their global order is that of
 
 * Candidates. Two sets that link differ in at most D shingles, and D follows from their sizes. The
   order is cut into F = D + 1 + spare fragments, so at least `spare` + 1 fragments hold the same
-  shingles in both sets. Each set therefore emits one signature per fragment that is not empty, in
+  shingles in both sets. Each set therefore has one signature per fragment that is not empty, in
   its own class of sizes and in a smaller class from which a partner may come. A set with more
-  empty fragments than `spare` does so again under another order of the hashes; two such sets
-  share that order too, so no pair is lost.
+  empty fragments than `spare` has others under another order of the hashes; two such sets share
+  that order too, so no pair is lost. In classes of few shingles the first shingles of a set in the
+  global order (as many as a linked partner cannot all lack) are its signatures instead.
 * Copies. Documents with the same set form one class; only classes are compared.
-* Pairs. In every group of classes with the same signature, a hub is compared with the others,
-  never all with all. Links are merged into components; groups whose members are not yet in one
-  component lose the hub and get new ones, until none is left. Every pair of a group has then been
-  compared or is connected, so the components are those of the full join.
+* Pairs. In every group of classes with the same signature, hubs are compared with the others,
+  never all with all. A pair whose parity sketches (one bit per residue of the hashes) differ in
+  more bits than linked sets differ in shingles cannot link and, after the first round, is left out inside the join. Links
+  are merged into components; groups whose members are not yet in one component lose their hubs
+  and get new ones, until none is left. Every pair of a group has then been compared or is
+  connected, so the components are those of the full join.
+* One pass finds the signatures that occur twice and keeps one bit for each in a bitmap of
+  `BITMAP_BITS`; the next sends on only what hits a set bit. The bitmap has a fixed size and can
+  only let too much through.
 * Overlap. The order is cut into `FRAGMENTS`; the overlap of a pair is counted per fragment with
   a join on (class, fragment) and summed per pair.
 
@@ -32,17 +38,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACED, U64, bounded_batches, mix64, run_hashes, slices, stage, table, text_bytes, word_hashes, words
-from .components import connected_components
+from .hubs import link_groups
 
 FRAGMENTS = 8
 SIZE_RATIO = 1.25
 ORDERS = 6
 BROADCAST_ROWS = 2_000_000
-MOST_HUBS = 64
+SMALL_SET = 24
+BITMAP_BITS = 27
+LEAST_SKETCH, MOST_SKETCH = 4, 32
 
 
 @lru_cache(maxsize=None)
@@ -55,11 +63,22 @@ def size_class(k: int) -> tuple[int, int]:
 @lru_cache(maxsize=None)
 def fragments_of(k: int, num: int, den: int) -> tuple[int, int]:
     """(fragments, spare) for pairs whose smaller set is in class k; one fragment means equal sets only."""
-    small = size_class(k)[1] - 1
-    most = small + small * den // num
+    low, high = size_class(k)
+    most = high - 1 + (high - 1) * den // num
     # of sizes that sum to t, the overlap must be num * t / (num + den), rounded up
     differ = max(t - 2 * -(-num * t // (num + den)) for t in range(max(2, most - 4 * (num + den) // num - 40), most + 1))
-    return (differ + 1 + (differ + 1) // 100, (differ + 1) // 100) if differ > 0 else (1, 0)
+    if differ <= 0:
+        return 1, 0
+    spare = 0
+    for _ in range(4):  # as many as are empty in a set of the least size, with some to spare
+        empty = (differ + 1 + spare) * math.exp(-low / (differ + 1 + spare))
+        spare = math.ceil(empty + 2 * math.sqrt(empty)) if empty > 0.05 else 0
+    return differ + 1 + spare, spare
+
+
+def sketch_longs(k: int) -> int:
+    """64-bit words of the sketches in class k."""
+    return min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (size_class(k)[1] // 64).bit_length()))
 
 
 @lru_cache(maxsize=None)
@@ -108,74 +127,125 @@ def set_names(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of one set, given sorted."""
-    out = []
-    for k in classes_of(len(shingles), num, den):
+    """The signatures of one set, given sorted; their low 8 bits are the class of sizes."""
+    out, n = [], len(shingles)
+    for k in classes_of(n, num, den):
+        if size_class(k)[1] <= SMALL_SET:
+            found = mix64(shingles[: n - -(-n * num // den) + 1] + U64(k))
+            out.append((found & ~U64(255)) | U64(k))
+            continue
         count, spare = fragments_of(k, num, den)
         for order in range(ORDERS):
             h = shingles if order == 0 else np.sort(mix64(shingles + U64(order * 0x9E3779B97F4A7C15 % (1 << 64))))
             fragment = ((h >> U64(32)) * U64(count)) >> U64(32)
-            ends = np.append(np.flatnonzero(fragment[1:] != fragment[:-1]) + 1, len(h))
+            ends = np.append(np.flatnonzero(fragment[1:] != fragment[:-1]) + 1, n)
             part = fragment[ends - 1]
-            last = order == ORDERS - 1 and count - len(ends) > spare
             sums = _sums(mix64(h), ends)
-            if last:
+            if order == ORDERS - 1 and count - len(ends) > spare:
                 absent = np.setdiff1d(np.arange(count, dtype=U64), part)
                 part, sums = np.append(part, absent), np.append(sums, np.zeros(len(absent), U64))
-            out.append(mix64(sums + mix64(part + U64((k * ORDERS + order) << 32))))
+            found = mix64(sums + mix64(part + U64((k * ORDERS + order) << 32)))
+            out.append((found & ~U64(255)) | U64(k))
             if count - len(ends) <= spare:
                 break
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """docs: doc_id, text_hash, text. Returns doc_id, text_hash, n_shingles, class, signatures."""
+def sketch(shingles: np.ndarray, k: int) -> np.ndarray:
+    """Parities of the numbers of shingles per residue: in at most as many bits as the sets differ."""
+    longs = sketch_longs(k)
+    odd = np.bincount((shingles & U64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _rows(docs: DataFrame, schema: str, n: int, make) -> DataFrame:
+    """A pass over docs: make(batch slice, shingles, sizes) gives the columns of the schema."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     bounded_batches(docs.sparkSession)
-    schema = T._parse_datatype_string("doc_id bigint, text_hash bigint, n_shingles bigint, class bigint, signatures array<bigint>")
-    arrow = to_arrow_schema(schema)
+    made = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offsets = text_bytes(part.column("text"))
-                shingles, sizes = shingle_sets(data, offsets, n)
-                ends = np.cumsum(sizes)
-                found = [signatures(shingles[b - k : b], num, den) if k else np.zeros(0, U64) for b, k in zip(ends.tolist(), sizes.tolist())]
-                upto = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(flat)).cast(arrow.field("signatures").type)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(set_names(shingles, sizes).view(np.int64)), lists], schema=arrow)
+                columns = make(part, *shingle_sets(*text_bytes(part.column("text")), n))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, made)
 
 
-def set_fragments(docs: DataFrame, n: int) -> DataFrame:
-    """class, fragment and its shingles, for the sets of docs."""
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _each(shingles: np.ndarray, sizes: np.ndarray):
+    ends = np.cumsum(sizes)
+    return ((i, shingles[b - k : b]) for i, (b, k) in enumerate(zip(ends.tolist(), sizes.tolist())) if k)
 
-    schema = T._parse_datatype_string("class bigint, fragment int, shingles array<bigint>")
-    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                data, offsets = text_bytes(part.column("text"))
-                shingles, sizes = shingle_sets(data, offsets, n)
-                if not len(shingles):
-                    continue
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                fragment = (((shingles >> U64(32)) * U64(FRAGMENTS)) >> U64(32)).astype(np.int64)
-                key = row * FRAGMENTS + fragment
-                starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(shingles.view(np.int64)))
-                columns = [pa.array(set_names(shingles, sizes).view(np.int64)[row[starts]]), pa.array(fragment[starts].astype(np.int32)), lists.cast(arrow.field("shingles").type)]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+def document_sets(docs: DataFrame, n: int) -> DataFrame:
+    """docs: doc_id, text_hash, text. Returns doc_id, text_hash, n_shingles, class."""
+    def make(part, shingles, sizes):
+        return part.column("doc_id"), part.column("text_hash"), sizes, set_names(shingles, sizes).view(np.int64)
+
+    return _rows(docs, "doc_id bigint, text_hash bigint, n_shingles bigint, class bigint", n, make)
+
+
+def all_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    def make(part, shingles, sizes):
+        found = [signatures(x, num, den) for _, x in _each(shingles, sizes)]
+        return (np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64),)
+
+    return _rows(docs, "sig bigint", n, make)
+
 
-    return docs.mapInArrow(run, schema)
+def repeated_bitmap(signed: DataFrame) -> np.ndarray:
+    """One bit for each signature that occurs twice: 2 ** BITMAP_BITS bits in bytes, whatever the input."""
+    place = F.shiftrightunsigned("sig", 64 - BITMAP_BITS)
+    twice = signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    word = twice.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(shiftrightunsigned(sig, {64 - BITMAP_BITS}), 64) AS INT))")).alias("bits"))
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    got = word.toArrow()
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def repeated_members(docs: DataFrame, bitmap, n: int, num: int, den: int) -> DataFrame:
+    """sig, class, n of the signatures that hit the bitmap."""
+    def make(part, shingles, sizes):
+        bits, names = bitmap.value, set_names(shingles, sizes).view(np.int64)
+        sigs, of = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for i, x in _each(shingles, sizes):
+            found = signatures(x, num, den)
+            at = (found >> U64(64 - BITMAP_BITS)).astype(np.int64)
+            found = found[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            sigs.append(found)
+            of.append(np.full(len(found), i))
+        row = np.concatenate(of)
+        return np.concatenate(sigs).view(np.int64), names[row], sizes[row]
+
+    return _rows(docs, "sig bigint, class bigint, n bigint", n, make)
+
+
+def set_sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """class, k and sketch of the sets of docs in each class of sizes that they meet partners in."""
+    def make(part, shingles, sizes):
+        names = set_names(shingles, sizes).view(np.int64)
+        found = [(names[i], k, sketch(x, k)) for i, x in _each(shingles, sizes) for k in classes_of(len(x), num, den)]
+        return [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
+
+    return _rows(docs, "class bigint, k int, sketch array<bigint>", n, make)
+
+
+def set_fragments(docs: DataFrame, n: int) -> DataFrame:
+    """class, fragment and its shingles, for the sets of docs."""
+    def make(part, shingles, sizes):
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        fragment = (((shingles >> U64(32)) * U64(FRAGMENTS)) >> U64(32)).astype(np.int64)
+        key = row * FRAGMENTS + fragment
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(shingles.view(np.int64)))
+        return set_names(shingles, sizes).view(np.int64)[row[starts]], fragment[starts], lists
+
+    return _rows(docs, "class bigint, fragment int, shingles array<bigint>", n, make)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -184,69 +254,48 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, fragments: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs a, b (with sizes n_a, n_b) that link, by overlaps counted per fragment."""
+    """The pairs a, b (with sizes a_n, b_n) that link, by overlaps counted per fragment."""
     left = fragments.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("of_a"))
     right = fragments.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("of_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
-    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
-    return total.where(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b")
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "a_n", "b_n", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+    total = partial.groupBy("a", "b", "a_n", "b_n").agg(F.sum("common").alias("common"))
+    return total.where(F.col("common") * den >= (F.col("a_n") + F.col("b_n") - F.col("common")) * num).select("a", "b")
 
 
-def link_classes(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """class, root: the components of different sets that link; classes linked with none are absent."""
+def link_classes(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
+    """class, root: the components of different sets that link; classes linked with none are absent (None: all are)."""
     spark = docs.sparkSession
-    emitted = sets.select(F.explode("signatures").alias("sig"), "class", F.col("n_shingles").alias("n"))
-    shared = emitted.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
-    found = stage(emitted.join(shared, "sig").distinct(), "jaccard-groups")
-    # the more signatures a class shares, the likelier it is the middle of its group
-    shares = found.groupBy("class").agg(F.count("*").alias("shares"))
-    members = found.join(shares, "class").withColumn("label", F.col("class"))
-    one_each = sets.join(_few(found.select("class").distinct()), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    wanted = stage(one_each.select("one.*"), "jaccard-wanted")
+    bitmap = spark.sparkContext.broadcast(repeated_bitmap(all_signatures(docs, n, num, den)))
+    found = stage(repeated_members(docs, bitmap, n, num, den).distinct(), "jaccard-found")
+    shared = found.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
+    found = stage(found.join(shared, "sig"), "jaccard-groups")
+    wanted = sets.join(_few(found.select("class").distinct()), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    wanted = stage(wanted.select("one.*"), "jaccard-wanted")
     rows = docs.alias("d").join(_few(wanted).alias("w"), F.expr("d.text_hash = w.text_hash AND d.doc_id <=> w.doc_id"), "left_semi")
     fragments = stage(set_fragments(rows, n).groupBy("class", "fragment").agg(F.first("shingles").alias("shingles")), "jaccard-fragments")
+    sketches = stage(set_sketches(rows, n, num, den).groupBy("class", "k").agg(F.first("sketch").alias("sketch")), "jaccard-sketches")
+    # the more signatures a class shares, the likelier it is the middle of its group
+    shares = found.groupBy("class").agg(F.count("*").alias("shares"))
+    members = found.join(shares, "class").select("sig", "class", "n", "shares")
+    near = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num
+    total = F.col("n") + F.col("hub_n")
+    differ = total - 2 * F.ceil(total * num / (num + den))  # the most in which linked sets of these sizes differ
+    apart = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+    def with_sketches(rest: DataFrame) -> tuple[DataFrame, str, Column]:
+        return rest.withColumn("k", F.pmod("sig", F.lit(256)).cast("int")).join(sketches, ["class", "k"]).drop("k"), "sketch", near & (apart <= differ)
 
-    labels: DataFrame | None = None
-    hubs_per_group = 1
-    while True:
-        members = stage(members, "jaccard-members")
-        if not members.take(1):
-            break
-        hub = F.max(F.struct("shares", "class", "n", "label")).alias("hub")
-        hubs = stage(members.groupBy("sig", F.pmod(F.xxhash64("class"), F.lit(hubs_per_group)).alias("slot")).agg(hub).select("sig", *[F.col(f"hub.{x}").alias(f"hub_{x}") for x in ("class", "n", "label")]), "jaccard-hubs")
-        near = (F.col("label") != F.col("hub_label")) & (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num)
-        first = F.col("class") < F.col("hub_class")
-        pairs = members.join(hubs, "sig").where(near).select(
-            F.least("class", "hub_class").alias("a"), F.greatest("class", "hub_class").alias("b"),
-            F.when(first, F.col("n")).otherwise(F.col("hub_n")).alias("n_a"), F.when(first, F.col("hub_n")).otherwise(F.col("n")).alias("n_b"),
-        ).distinct()
-        links = stage(_links(pairs, fragments, num, den), "jaccard-links")
-        if labels is None:
-            edges = links
-        else:
-            of = lambda side: labels.select(F.col("class").alias(side), F.col("root").alias(f"l{side}"))
-            edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        roots = connected_components(edges).select(F.col("node").alias("label"), "root")
-        moved = roots.withColumnRenamed("label", "class") if labels is None else (
-            labels.withColumnRenamed("root", "label").join(roots, "label", "left").select("class", F.coalesce("root", "label").alias("root"))
-            .union(roots.withColumnRenamed("label", "class")).groupBy("class").agg(F.min("root").alias("root"))
-        )
-        labels = stage(moved, "jaccard-labels")
-        rest = members.join(hubs.select("sig", F.col("hub_class").alias("class")), ["sig", "class"], "left_anti")
-        rest = rest.join(roots, "label", "left").select("sig", "class", "n", "shares", F.coalesce("root", "label").alias("label"))
-        rest = stage(rest, "jaccard-rest")
-        open_groups = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-        members = rest.join(open_groups, "sig")
-        hubs_per_group = min(MOST_HUBS, 2 * hubs_per_group)
-    return labels if labels is not None else spark.createDataFrame([], "class bigint, root bigint")
+    return link_groups(members, ["n"], near, ["n"], lambda pairs: _links(pairs, fragments, num, den), "jaccard", with_sketches)
 
 
 def jaccard_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, text_hash, n_shingles and root: a name of the component (null for empty sets)."""
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    sets = stage(document_sets(keyed, n, num, den), "jaccard-sets")
+    sets = stage(document_sets(keyed, n), "jaccard-sets")
     labels = link_classes(keyed, sets, n, num, den)
     rows = sets.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
+    if labels is None:
+        return rows.withColumnRenamed("class", "root")
     return rows.join(labels, "class", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "class").alias("root"))
 
 
