@@ -24,7 +24,8 @@ def bootstrap_means(units: DataFrame, key: str, unit: str, value: str, draws: in
     reps = sizes.select(key, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("replicate"))
     drawn = reps.select(key, "n", "replicate", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("draw"))
     drawn = drawn.select(key, "replicate", draw_index(seed, F.col(key), F.col("replicate"), F.col("draw"), F.col("n")).alias("idx"))
-    return drawn.join(listed, [key, "idx"]).groupBy(key, "replicate").agg(F.avg("value").alias("mean"))
+    # The draws are many times the units, which Spark's estimate does not show: they are never the side to be held or broadcast.
+    return drawn.join(listed.hint("shuffle_hash"), [key, "idx"]).groupBy(key, "replicate").agg(F.avg("value").alias("mean"))
 
 
 def bootstrap_interval(units: DataFrame, key: str, unit: str, value: str, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:

@@ -47,8 +47,8 @@ def boot_sql(units: str, select: str, draws: int, seed: int) -> str:
     ),
 )
 def bootstrap_ratio_ci(spark, sf_dir):
-    rows = trial_rows(spark, sf_dir).where("pair <= 60").withColumn("unit", F.col("pair") * 10_000_000_000 + F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
-    ci = resample.ratio_interval(rows, "path", "unit", draws=400, seed=1)
+    rows = trial_rows(spark, sf_dir).withColumn("unit", F.col("pair") * 10_000_000_000 + F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
+    ci = resample.ratio_interval(rows, "path", "unit", draws=5000, seed=1)
     return rounded(ci.withColumn("verdict", trials.ratio_verdict("low", "high")), 6, "low", "high")
 
 
@@ -240,7 +240,7 @@ def quality_contrast_2x2(spark, sf_dir):
 )
 def bootstrap_delta_ci(spark, sf_dir):
     d = quality.deltas(_baseline(spark, sf_dir), _arms(spark, sf_dir)[0])
-    ci = resample.bootstrap_interval(d, "arm", "doc", "delta", draws=300, seed=2)
+    ci = resample.bootstrap_interval(d, "arm", "doc", "delta", draws=5000, seed=2)
     return rounded(ci.withColumn("crosses_zero", trials.crosses_zero("low", "high")), 6, "low", "high")
 
 
