@@ -54,7 +54,7 @@ def body_hashes(spark, sf_dir):
 @query("manifest_tall", "SELECT 'd' || o_custkey % 9 AS doc, o_orderkey % 28 AS layer, CASE WHEN o_orderkey % 2 = 0 THEN 'k' ELSE 'v' END AS kind, c, mode, round(o_totalprice / 1000 / c, 6) AS ratio FROM orders, (VALUES (0.1, 'fixed'), (0.03, 'plain')) t(c, mode) WHERE o_orderkey <= 3000 AND o_totalprice > 0")
 def manifest_tall(spark, sf_dir):
     """Observations written as JSON with results keyed by c and mode, read and made tall."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey <= 3000").select(
+    rows = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("d"), (F.col("o_custkey") % 9).cast("string")).alias("doc"), (F.col("o_orderkey") % 28).cast("int").alias("layer"), F.when(F.col("o_orderkey") % 2 == 0, "k").otherwise("v").alias("kind"),
         F.col("o_totalprice").alias("std"), F.create_map(*[x for c, m in ((0.1, "fixed"), (0.03, "plain")) for x in (F.lit(f"c{c}_{m}"), F.struct((F.col("o_totalprice") / 1000 / c).alias("ratio")))]).alias("cuszp"),
     )

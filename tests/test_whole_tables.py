@@ -83,3 +83,11 @@ def test_sweep_covers_all_parts(spark, tmp_path):
     got = {(r["payload"], r["step"]): (r["bw_gbps"], r["net_s"]) for r in registry.QUERIES["bw_sweep"](spark, d).collect()}
     assert got.keys() == want.keys() and len(got) == 71 * 256
     assert all(math.isclose(x, y, abs_tol=1.5e-6) for k in got for x, y in zip(got[k], want[k]))
+
+
+def test_manifest_covers_all_orders(spark, tmp_path):
+    d = folder(tmp_path, "orders", "o_orderkey BETWEEN 2990 AND 3300")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{d}/orders.parquet'")
+    df = registry.QUERIES["manifest_tall"](spark, d)
+    check([tuple(r) for r in df.collect()], df.columns, whole(duck, "manifest_tall", "o_orderkey <= 3000 AND "))
