@@ -5,12 +5,17 @@ so equal values get equal pseudonyms in every document and different values neve
 
     card     13 to 19 digits with a valid Luhn sum  ->  same first digit, valid sum
     phone    NANP number, in its own punctuation    ->  valid NANP number
+             other ten digits in phone notation     ->  ten digits that are no NANP number
     ssn      valid area, group and serial           ->  valid area, group and serial
     ip       four octets                            ->  four octets
     date     a calendar day of 1700 to 2099         ->  such a day, in the same notation
     email    local part (the domain stays)          ->  letters to letters, digits to digits
     secret   access keys and values after password, token, secret, api_key  ->  likewise
 
+Where a run of up to 19 digits fails the Luhn sum, the longest valid run between its blanks or
+hyphens is the card. Its pseudonym is drawn again where it would make a longer run valid, so that
+`reveal` finds the same run; it then differs from that of the card standing alone.
+
 Numbers are permuted by an alternating Feistel network on Z_a x Z_b, where a * b is exactly the
 number of values of the format, so no value ever leaves it. Strings are permuted by the same network
 over two halves of characters, each shifted within its own class. Round functions are SHA-256 of
@@ -29,10 +34,15 @@ from pyspark.sql import functions as F
 from .common import free_name, table
 
 ROUNDS, STRING_ROUNDS = 8, 4
+#: Draws of a card inside a longer run; each fails with a probability of about 1/10 for each longer run.
+WALK = 32
 KEY = "change-me"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+NANP = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
+#: Any ten digits, with +1, parentheses or hyphens and dots, which plain figures do not have.
+DIGITS10 = r"\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|(?:1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?:1[.-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+PHONE = rf"(?<![0-9+])(?:{NANP}|{DIGITS10})(?![0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9/.-])(?:(?:1[7-9]|20)[0-9]{2}([/-])[0-9]{2}\1[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\2(?:1[7-9]|20)[0-9]{2})(?![0-9])"
@@ -129,11 +139,48 @@ def _card(m: Column, key: str, reveal: bool) -> Column:
     return _refill(m, F.concat(head, check.cast("string")))
 
 
+def _card_run(m: Column) -> Column:
+    """(n, at) of the longest, then first run of m between its blanks and hyphens that is a valid card, n negative."""
+    at = F.sequence(F.lit(1), F.length(m))
+    mark = lambda i: ~F.substring(m, i, F.lit(1)).between("0", "9")
+    starts = F.filter(at, lambda i: (i == 1) | ((i > 1) & mark(i - 1)))
+    ends = F.filter(at, lambda i: (i == F.length(m)) | mark(i + 1))
+    runs = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda e: e > a), lambda e: F.struct((a - e - 1).alias("n"), a.alias("at")))))
+
+    def valid(x: Column) -> Column:
+        d = _digits(F.substring(m, x["at"], -x["n"]))
+        return F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)
+
+    return F.get(F.array_sort(F.filter(runs, valid)), F.lit(0))
+
+
+def _card_within(m: Column, key: str, reveal: bool) -> Column:
+    """m with the valid card in it replaced, null if there is none."""
+    def made(run: Column) -> Column:
+        before, after = F.substring(m, F.lit(1), run["at"] - 1), F.substring(m, run["at"] - run["n"], F.length(m))
+
+        def draw(s: Column, _: Column) -> Column:
+            new = F.transform(F.array(s["v"]), lambda v: _card(v, key, reveal))
+            tried = F.transform(new, lambda v: F.struct(v.alias("v"), (_card_run(F.concat(before, v, after)) == run).alias("done")))
+            return F.when(s["done"], s).otherwise(F.get(tried, F.lit(0)))
+
+        start = F.struct(F.substring(m, run["at"], -run["n"]).alias("v"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, draw, lambda s: F.concat(before, s["v"], after))
+
+    return F.get(F.transform(F.filter(F.array(_card_run(m)), lambda x: x.isNotNull()), made), F.lit(0))
+
+
 def _phone(m: Column, key: str, reveal: bool) -> Column:
     d = F.right(_digits(m), F.lit(10))
     index = ((F.substring(d, 1, 3).cast("bigint") - 200) * 800 + F.substring(d, 4, 3).cast("bigint") - 200) * 10000 + F.substring(d, 7, 4).cast("bigint")
     x = permute(index, 80_000, 80_000, "phone", key, reveal)
     made = F.concat((F.floor(x / 8_000_000) + 200).cast("string"), (F.pmod(F.floor(x / 10_000), F.lit(800)) + 200).cast("string"), F.lpad(F.pmod(x, F.lit(10_000)).cast("string"), 4, "0"))
+    # The 3.6 * 10^9 other numbers: an area below 200, then an area from 200 with an exchange below 200.
+    rest = F.when(d < "2", d.cast("bigint")).otherwise(2_000_000_000 + ((F.substring(d, 1, 3).cast("bigint") - 200) * 200 + F.substring(d, 4, 3).cast("bigint")) * 10_000 + F.substring(d, 7, 4).cast("bigint"))
+    y = permute(rest, 60_000, 60_000, "phone10", key, reveal)
+    z = y - 2_000_000_000
+    other = F.when(z < 0, y).otherwise((F.call_function("div", z, _long(2_000_000)) + 200) * 10_000_000 + F.pmod(z, F.lit(2_000_000)))
+    made = F.when(d.rlike("^[2-9][0-9]{2}[2-9]"), made).otherwise(F.lpad(other.cast("string"), 10, "0"))
     return _refill(m, F.concat(F.substring(_digits(m), F.lit(1), F.length(_digits(m)) - 10), made))
 
 
@@ -180,6 +227,7 @@ def pseudonym(m: Column, key: str = KEY, reveal: bool = False) -> Column:
         .when(whole(SSN), _ssn(m, key, reveal))
         .when(whole(DATE), F.when(_day(m).isNotNull(), _date(m, key, reveal)).otherwise(m))
         .when(whole(CARD) & (luhn_sum(_digits(m)) % 10 == 0), _card(m, key, reveal))
+        .when(whole(CARD), _card_within(m, key, reveal))
     )
     return F.coalesce(made, m)
 
