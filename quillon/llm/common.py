@@ -7,6 +7,7 @@ class is the same as a code-point class, and all bytes from 0x80 on belong to wo
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a Python worker; one longer text is still handled whole.
 SLICE_BYTES = 2 << 20
 #: Arrow bytes that Spark sends to a Python worker at once.
 ARROW_BYTES = 16 << 20
+#: A counted table up to this size is broadcast; beyond, joins shuffle.
+BROADCAST_BYTES = 16 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -32,9 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and
+    the master is local; on a cluster the setting is required."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,7 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: a cut in the lineage that outlives executors.
 
-    The shuffle files of the write are of no use after it, and Spark is told to remove them then."""
+    The shuffle files of the write are of no use after it, and Spark is told to remove them then.
+    The table itself stays until `unstage`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
@@ -52,14 +61,46 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete staged tables of which nothing is read any more, as their successors are written."""
+    for df in tables:
+        if df is not None and getattr(df, "_staged_at", None):
+            delete_path(df.sparkSession, df._staged_at)
+            df._staged_at = None
+
+
+def small_or_not(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for a broadcast if its counted rows of row_bytes each stay within BROADCAST_BYTES."""
+    return F.broadcast(df) if df.limit(BROADCAST_BYTES // row_bytes + 1).count() <= BROADCAST_BYTES // row_bytes else df
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def setting_bytes(value: str) -> int:
+    """The bytes of a Spark size setting such as 67108864, 64m or 64MB."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([bkmgt]?)i?b?\s*", str(value).lower())
+    if not found:
+        raise ValueError(f"not a size: {value}")
+    return int(found[1]) * _UNITS[found[2]]
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, so that long texts do not add up in a worker."""
+    """Bound the bytes of an Arrow batch, so that long texts do not add up in a worker. A lower bound of
+    the session is kept; the setting stays, as plans read it when they run."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key)
-    if int(str(now).rstrip("bB")) > ARROW_BYTES:
+    if setting_bytes(spark.conf.get(key)) > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
 
 

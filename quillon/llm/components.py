@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum (pre-aggregated before its shuffle) and a join back, so a hub with
-very many edges is never gathered in one task; each round is written to the shared folder.
+Every step is a grouped minimum (pre-aggregated before its shuffle) and a join back. The minima are
+written before they are joined, so that both sides of the join are plain shuffles, of which Spark
+splits the partition of a node with very many edges. Each round's table replaces the last.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges: a, b. Returns node, root for all nodes but the roots; root is the smallest node.
+    """edges: a, b. Returns node, root for all nodes but the roots; root is the smallest node. A staged table.
 
     Loops, repeated and reversed edges and nulls do no harm; no edges give no rows."""
     a, b = F.col("a"), F.col("b")
@@ -22,11 +23,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("big", "small")).alias("x")).first()
         if not mark["n"] or mark == before:
-            return now.select(F.col("big").alias("node"), F.col("small").alias("root"))
+            out = stage(now.select(F.col("big").alias("node"), F.col("small").alias("root")), "cc-roots")
+            unstage(now)
+            return out
         before = mark
         both = now.select(F.col("big").alias("u"), F.col("small").alias("v")).union(now.select("small", "big"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("big"), F.least("m", "u").alias("small"))
-        low = large.groupBy("big").agg(F.min("small").alias("m"))
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        large = stage(both.join(low, "u").where("v > u").select(F.col("v").alias("big"), F.least("m", "u").alias("small")), "cc-large")
+        unstage(low)
+        low = stage(large.groupBy("big").agg(F.min("small").alias("m")), "cc-low")
         small = large.join(low, "big").select(F.when(F.col("small") == F.col("m"), F.col("big")).otherwise(F.col("small")).alias("u"), "m", F.col("big").alias("w"))
-        now = stage(small.select(F.col("u").alias("big"), F.col("m").alias("small")).union(small.select("w", "m")).distinct(), "cc")
+        after = stage(small.select(F.col("u").alias("big"), F.col("m").alias("small")).union(small.select("w", "m")).distinct(), "cc")
+        unstage(now, large, low)
+        now = after
