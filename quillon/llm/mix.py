@@ -11,7 +11,7 @@
 5. Each shard takes disjoint runs of the permuted draws and shuffles its rows locally.
 
 Only tables with a proven bound reach the driver or are broadcast: one row per source
-(`MAX_SOURCES`) and one per block (`MAX_SHARDS * BLOCKS_PER_SHARD` + sources). Randomness comes
+(`MAX_SOURCES`, more raise an error) and one per block (`MAX_BLOCKS` + sources). Randomness comes
 from hashes and from generators seeded by the tree node, so reruns agree.
 
 Defined results: a null text has no words; documents without words are drawn with their block
@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, bounded_batches, free_name, slices, stage, table, text_bytes, words
+from .common import SPACED, bounded_batches, slices, stage, table, text_bytes, unstage, words
 
 MAX_REPEATS = 3
 MAX_SOURCES = 100_000
 MIN_SHARDS, MAX_SHARDS, SHARD_WORDS = 16, 1 << 16, 1 << 26
-BLOCKS_PER_SHARD = 256
+BLOCKS_PER_SHARD, MAX_BLOCKS = 256, 1 << 20
 SEED = 20240917
 
 
@@ -78,6 +78,7 @@ class MixPlan:
     sources: DataFrame  # name, idx, words, target, n_blocks
     blocks: DataFrame  # idx, block, shards (of whole draws), part_shard and part_cut (of the cut draw)
     seed: int
+    shards: int
 
 
 def _rank(docs: DataFrame, doc_id: str, text: str, seed: int):
@@ -119,7 +120,8 @@ def plan_mix(sized: DataFrame, seed: int = SEED, shards: int | None = None) -> M
     targets = source_targets([(r["source"], r["words"]) for r in per])
     total = sum(n for _, n, _ in targets)
     shards = shards or int(min(MAX_SHARDS, max(MIN_SHARDS, -(-total // SHARD_WORDS))))
-    n_blocks = [max(1, min(docs_of[s], round(shards * BLOCKS_PER_SHARD * n / max(total, 1)))) for s, n, _ in targets]
+    all_blocks = min(MAX_BLOCKS, shards * BLOCKS_PER_SHARD)
+    n_blocks = [max(1, min(docs_of[s], round(all_blocks * n / max(total, 1)))) for s, n, _ in targets]
     sources = spark.createDataFrame(
         pa.table({"name": pa.array([s for s, _, _ in targets], pa.string()), "idx": pa.array(range(len(targets)), pa.int32()), "words": pa.array([n for _, n, _ in targets], pa.int64()), "target": pa.array([t for _, _, t in targets], pa.float64()), "n_blocks": pa.array(n_blocks, pa.int64())})
     )
@@ -184,29 +186,33 @@ def plan_mix(sized: DataFrame, seed: int = SEED, shards: int | None = None) -> M
             }
         )
     )
-    return MixPlan(sources, blocks, seed)
+    return MixPlan(sources, blocks, seed, shards)
 
 
 def apply_plan(rows: DataFrame, plan: MixPlan, source: str, rank) -> DataFrame:
-    """rows with mix_words and mix_target of their source and mix_shards: a shard for each time taken."""
+    """mix_row (a struct of the columns of rows), mix_rank, mix_words and mix_target of the row's source
+    and mix_shards: a shard for each time taken. No column of rows can clash, as all are in mix_row."""
     s, b = plan.sources, plan.blocks
-    key = free_name(rows, "mix_rank")
-    out = rows.withColumn(key, rank).join(F.broadcast(s), rows[source].eqNullSafe(s["name"]), "left")
-    out = out.join(F.broadcast(b), (out["idx"] == b["b_idx"]) & (F.pmod(out[key], out["n_blocks"]) == b["b_block"]), "left")
-    part = F.when(_order(F.col(key), plan.seed) <= F.col("part_cut"), F.array("part_shard")).otherwise(F.array().cast("array<int>"))
-    return out.select(*[rows[c] for c in rows.columns], F.col("words").alias("mix_words"), F.col("target").alias("mix_target"), F.concat("shards", part).alias("mix_shards"))
+    out = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("mix_row"), F.col(f"`{source}`").alias("mix_source"), rank.alias("mix_rank"))
+    out = out.join(F.broadcast(s), out["mix_source"].eqNullSafe(s["name"]), "left")
+    out = out.join(F.broadcast(b), (out["idx"] == b["b_idx"]) & (F.pmod(out["mix_rank"], out["n_blocks"]) == b["b_block"]), "left")
+    part = F.when(_order(F.col("mix_rank"), plan.seed) <= F.col("part_cut"), F.array("part_shard")).otherwise(F.array().cast("array<int>"))
+    return out.select("mix_row", "mix_rank", F.col("words").alias("mix_words"), F.col("target").alias("mix_target"), F.concat("shards", part).alias("mix_shards"))
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, shards: int | None = None) -> DataFrame:
-    """The mix itself: docs' columns and `mix_shard`, each row as often as it is taken, every shard
-    in its own partition and order. Clashing columns of docs named mix_* are replaced."""
-    docs = docs.drop("mix_words", "mix_target", "mix_shards", "mix_shard")
+    """The mix itself: docs' columns and `mix_shard` (a clashing column is replaced), each row as often
+    as it is taken, every shard in a partition and order of its own."""
+    docs = docs.drop("mix_shard")
     rank = _rank(docs, doc_id, text, seed)
-    sized = stage(count_words(docs.select(F.col(source).alias("source"), rank.alias("rank"), F.col(text).alias("text")), "text", "size"), "mix")
-    found = apply_plan(docs, plan_mix(sized, seed, shards), source, rank)
-    rows = found.select(*[found[c] for c in docs.columns], F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
-    within = F.xxhash64(F.lit(seed + 2), F.col("mix_shard"), F.col("mix_copy"), rank)
-    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", within).drop("mix_copy")
+    sized = stage(count_words(docs.select(F.col(f"`{source}`").alias("source"), rank.alias("rank"), F.col(f"`{text}`").alias("text")), "text", "size"), "mix")
+    plan = plan_mix(sized, seed, shards)
+    found = apply_plan(docs, plan, source, rank)
+    rows = found.select("mix_row", "mix_rank", F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
+    within = F.xxhash64(F.lit(seed + 2), F.col("mix_shard"), F.col("mix_copy"), F.col("mix_rank"))
+    dealt = rows.repartitionById(plan.shards, "mix_shard").sortWithinPartitions("mix_shard", within)
+    unstage(sized)
+    return dealt.select(*[F.col("mix_row").getField(c).alias(c) for c in docs.columns], "mix_shard")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,4 +220,5 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = _rank(docs, "doc_id", "text", SEED)
     sized = stage(count_words(docs.withColumn("rank", rank), "text", "size"), "mix")
     found = apply_plan(sized, plan_mix(sized), "source", F.col("rank"))
-    return found.select("doc_id", "size", F.col("mix_words").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.size("mix_shards")).alias("taken"))
+    size = F.col("mix_row.size")
+    return found.select("mix_row.doc_id", size.alias("size"), F.col("mix_words").alias("source_size"), F.col("mix_target").alias("target"), (size * F.size("mix_shards")).alias("taken"), F.array_sort("mix_shards").alias("shards"))

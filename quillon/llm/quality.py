@@ -47,10 +47,9 @@ _SHAPE = np.array([97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 els
 
 def index_vectors(slots: int = SLOTS, dim: int = DIM, seed: int = SEED) -> np.ndarray:
     """Ternary index vectors: four places of each are +1 or -1."""
-    rng = np.random.default_rng(seed)
     out = np.zeros((slots, dim), np.float32)
-    for _ in range(4):
-        out[np.arange(slots), rng.integers(0, dim, slots)] += rng.choice(np.array([-1, 1], np.float32), slots)
+    for place, sign in zip(*index_places(slots, dim, seed)):
+        out[np.arange(slots), place] += sign
     return out
 
 
@@ -67,13 +66,21 @@ def token_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (h >> U64(20)).astype(np.int64) % SLOTS, (g >> U64(20)).astype(np.int64) % SLOTS, row
 
 
-def context_sums(slots: np.ndarray, row: np.ndarray, index: np.ndarray, out: np.ndarray) -> None:
-    """Adds to out[slot] the index vectors of the words within REACH places in the same row."""
+def index_places(slots: int = SLOTS, dim: int = DIM, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the four entries that add up to each index vector."""
+    rng = np.random.default_rng(seed)
+    drawn = [(rng.integers(0, dim, slots), rng.choice(np.array([-1, 1], np.float32), slots)) for _ in range(4)]
+    return np.stack([p for p, _ in drawn]), np.stack([s for _, s in drawn])
+
+
+def context_sums(slots: np.ndarray, row: np.ndarray, entries: tuple[np.ndarray, np.ndarray], out: np.ndarray) -> None:
+    """Adds to out[slot] the index vectors of the words within REACH places in the same row, entry by entry."""
+    flat, dim = out.reshape(-1), out.shape[1]
     for d in range(1, REACH + 1):
         same = np.flatnonzero(row[:-d] == row[d:]) if len(row) > d else np.zeros(0, np.int64)
         for a, b in ((slots[same], slots[same + d]), (slots[same + d], slots[same])):
-            for k in range(index.shape[1]):
-                out[:, k] += np.bincount(a, weights=index[b, k], minlength=len(out)).astype(np.float32)
+            for place, sign in zip(*entries):
+                flat += np.bincount(a * dim + place[b], weights=sign[b], minlength=len(flat))
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -153,12 +160,12 @@ def _context_table(rows: DataFrame, text: str) -> np.ndarray:
     schema = T._parse_datatype_string("slot int, sums array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, out = index_vectors(), np.zeros((SLOTS, DIM), np.float32)
+        entries, out = index_places(), np.zeros((SLOTS, DIM))
         for batch in batches:
             for part in slices(batch, text):
                 word, shape, row = token_slots(*text_bytes(part.column(text)))
-                context_sums(word, row, index, out)
-                context_sums(shape, row, index, out)
+                context_sums(word, row, entries, out)
+                context_sums(shape, row, entries, out)
         seen = np.flatnonzero(np.abs(out).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(list(out[seen].astype(np.float64)), pa.list_(pa.float64()))], names=["slot", "sums"])
 
@@ -182,8 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marked = labels.where(F.col(label).isNotNull() & (crc_fold(F.col(doc_id), FOLDS) != HELD_OUT))
     marked = marked.groupBy(F.col(doc_id).cast("bigint").alias("label_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     marked = bounded_sample(marked, F.col("label_id"), most, SEED).select("label_id", "y")  # at most `most` rows
-    rows = docs.join(F.broadcast(marked), docs[doc_id].cast("bigint") == marked["label_id"])
-    rows = stage(rows.groupBy("label_id", "y").agg(F.min(F.col(text)).alias("text")), "quality-train").coalesce(TRAIN_TASKS)
+    texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("label_id"), F.col(f"`{text}`").alias("text"))
+    rows = texts.join(F.broadcast(marked), "label_id")
+    rows = stage(rows.groupBy("label_id", "y").agg(F.min("text").alias("text")), "quality-train").coalesce(TRAIN_TASKS)
     context = _context_table(rows, "text")
     shared = spark.sparkContext.broadcast(_vectors(context))
 
@@ -221,8 +229,12 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs that the classifier accepts, with their columns as they were."""
-    found = score(docs, train(docs, labels, **options))
+    """docs that the classifier accepts, with their columns as they were. Without labels of both kinds
+    to learn from there is no classifier, and all documents stay."""
+    model = train(docs, labels, **options)
+    if model.prior is not None:
+        return docs
+    found = score(docs, model)
     return found.where(F.col("quality_label") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
