@@ -47,12 +47,14 @@ from .common import LOWER, SPACED, U64, bounded_batches, free_name, mix64, run_h
 from .hubs import link_groups
 
 FRAGMENTS = 8
-FRAGMENT_ROWS = 1 << 20
+FRAGMENT_ROWS = 1 << 21
 SIZE_RATIO = 1.25
 ORDERS = 6
 SMALL_SET = 24
 BITMAP_BITS = 25
 SKETCH_LONGS = 16
+#: Text handled at once in a worker, as each word takes several times its bytes.
+TEXT_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=None)
@@ -156,8 +158,9 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _rows(docs: DataFrame, schema: str, n: int, make) -> DataFrame:
-    """A pass over docs: make(batch slice, shingles, sizes) gives the columns of the schema."""
+def _rows(docs: DataFrame, schema: str, n: int, make, bitmap=None) -> DataFrame:
+    """A pass over docs: make(batch slice, shingles, sizes) gives the columns of the schema. With a
+    bitmap only of the rows whose place has a bit set."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -167,7 +170,10 @@ def _rows(docs: DataFrame, schema: str, n: int, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            if bitmap is not None:
+                at = batch.column("place").to_numpy()
+                batch = batch.filter(pa.array((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for part in slices(batch, "text", TEXT_BYTES):
                 columns = make(part, *shingle_sets(*text_bytes(part.column("text")), n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -304,14 +310,7 @@ def kept_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[use])).astype(np.int32)), pa.array(np.concatenate([shingles[ends[i] - sizes[i] : ends[i]] for i in use.tolist()]).view(np.int64) if len(use) else np.zeros(0, np.int64)))
         return names[use], lists
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for batch in batches:
-            at = batch.column("place").to_numpy()
-            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-
-    bounded_batches(docs.sparkSession)
-    found = _rows(placed.mapInArrow(hits, placed.schema), "class bigint, shingles array<bigint>", n, make)
+    found = _rows(placed, "class bigint, shingles array<bigint>", n, make, bitmap)
     return found.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 

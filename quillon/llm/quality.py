@@ -162,7 +162,7 @@ def _context_table(rows: DataFrame, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, out = index_places(), np.zeros((SLOTS, DIM))
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 1 << 20):
                 word, shape, row = token_slots(*text_bytes(part.column(text)))
                 context_sums(word, row, entries, out)
                 context_sums(shape, row, entries, out)
@@ -221,7 +221,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, vectors = shared.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 1 << 20):
                 p = fitted.score(pooled(*text_bytes(part.column(text)), vectors).astype(np.float64)) if part.num_rows else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], schema=arrow)
 

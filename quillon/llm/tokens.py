@@ -42,7 +42,7 @@ END_ID = 2
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 19
 PERCENTILE = 98
-CACHE_WORDS, KEPT_WORDS = 600_000, 300_000
+CACHE_WORDS, KEPT_WORDS = 400_000, 200_000
 MAGIC = b"QPFR"
 
 SEGMENTS = "part int, segment int, doc_ids array<bigint>, n_tokens array<int>, local_start bigint, n_ids bigint, payload binary"
