@@ -1,31 +1,69 @@
-"""Bootstraps by hash-drawn indices, grouped folds and models per fold."""
+"""Bootstraps drawn chunk by chunk, grouped folds and models per fold."""
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def draw_index(seed: int, key: Column, replicate: Column, draw: Column, n: Column) -> Column:
-    """An index below n from the first 32 bits of an MD5, so that any engine draws the same."""
-    text = F.concat_ws("|", F.lit(str(seed)), key.cast("string"), replicate.cast("string"), draw.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint"), n)
+#: Units of a key that are drawn together; their places fit 16 bits.
+CHUNK = 4096
+_PIECE = 1 << 20
+
+
+def _generator(seed: int, *names) -> np.random.Generator:
+    return np.random.default_rng([seed, *(zlib.crc32(str(n).encode()) for n in names)])
+
+
+def _deal(draws: int, seed: int):
+    """For one key: how many of its n draws of each replicate fall into each chunk."""
+
+    def run(chunks: pa.Table) -> pa.Table:
+        order = np.argsort(chunks.column("chunk").to_numpy(), kind="stable")
+        m = chunks.column("m").to_numpy()[order]
+        times = _generator(seed, chunks.column("boot_key")[0].as_py()).multinomial(m.sum(), m / m.sum(), size=draws).T
+        out = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * draws), pa.array(times.astype(np.int64).ravel()))
+        return pa.table({"boot_key": chunks.column("boot_key").take(pa.array(order)), "chunk": chunks.column("chunk").to_numpy()[order], "times": out})
+
+    return run
+
+
+def _draw(seed: int):
+    """For one chunk: the sum of the values drawn with replacement, by replicate."""
+
+    def run(units: pa.Table, dealt: pa.Table) -> pa.Table:
+        key, chunk = dealt.column("boot_key")[0], dealt.column("chunk")[0].as_py()
+        values = units.column("value").to_numpy()[np.argsort(units.column("unit").to_numpy(), kind="stable")]
+        times = dealt.column("times").combine_chunks().flatten().to_numpy()
+        rng, out, per = _generator(seed, key.as_py(), chunk), np.zeros(len(times)), max(1, _PIECE // max(1, len(values)))
+        for a in range(0, len(times), per):
+            some = times[a : a + per]
+            drawn = values[rng.integers(0, len(values), int(some.sum()), dtype=np.uint16 if len(values) <= 1 << 16 else np.int64)]
+            starts, any_ = np.cumsum(some) - some, some > 0
+            out[a : a + per][any_] = np.add.reduceat(drawn, starts[any_]) if any_.any() else 0.0
+        return pa.table({"boot_key": pa.array([key.as_py()], pa.string()), "sums": pa.array([out], pa.list_(pa.float64()))})
+
+    return run
 
 
 def bootstrap_means(units: DataFrame, key: str, unit: str, value: str, draws: int, seed: int) -> DataFrame:
     """key, replicate, mean: the mean of value over n units drawn with replacement, draws times.
 
-    Replicates are rows, so they spread over the cluster; a key's values meet its draws by an
-    equi-join on (key, index)."""
-    w = Window.partitionBy(key).orderBy(unit)
-    listed = units.select(key, F.col(value).cast("double").alias("value"), (F.row_number().over(w) - 1).cast("bigint").alias("idx"))
-    sizes = listed.groupBy(key).agg(F.count("*").alias("n"))
-    reps = sizes.select(key, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("replicate"))
-    drawn = reps.select(key, "n", "replicate", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("draw"))
-    drawn = drawn.select(key, "replicate", draw_index(seed, F.col(key), F.col("replicate"), F.col("draw"), F.col("n")).alias("idx"))
-    # The draws are many times the units, which Spark's estimate does not show: they are never the side to be held or broadcast.
-    return drawn.join(listed.hint("shuffle_hash"), [key, "idx"]).groupBy(key, "replicate").agg(F.avg("value").alias("mean"))
+    Units are dealt into chunks by a hash; one multinomial draw per key and replicate says how often
+    each chunk is drawn from, and each chunk then draws by itself. So neither draws nor a key's units ever
+    become rows of one task, and reruns agree. Units without a value are left out."""
+    rows = units.where(F.col(value).isNotNull()).select(F.col(key).alias("own_key"), F.col(key).cast("string").alias("boot_key"), F.xxhash64(unit).alias("unit"), F.col(value).cast("double").alias("value"))
+    sizes = rows.groupBy("own_key", "boot_key").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK)).cast("bigint").alias("chunks"))
+    placed = rows.join(sizes.select("boot_key", "chunks"), "boot_key").select("boot_key", F.pmod("unit", "chunks").alias("chunk"), "unit", "value")
+    dealt = placed.groupBy("boot_key", "chunk").agg(F.count("*").alias("m")).groupBy("boot_key").applyInArrow(_deal(draws, seed), "boot_key string, chunk bigint, times array<bigint>")
+    sums = placed.groupBy("boot_key", "chunk").cogroup(dealt.groupBy("boot_key", "chunk")).applyInArrow(_draw(seed), "boot_key string, sums array<double>")
+    total = sums.select("boot_key", F.posexplode("sums").alias("replicate", "drawn")).groupBy("boot_key", "replicate").agg(F.sum("drawn").alias("drawn"))
+    return total.join(sizes, "boot_key").select(F.col("own_key").alias(key), "replicate", (F.col("drawn") / F.col("n")).alias("mean"))
 
 
 def bootstrap_interval(units: DataFrame, key: str, unit: str, value: str, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:

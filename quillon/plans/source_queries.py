@@ -51,7 +51,7 @@ def body_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", numerics.short_hash(numerics.squeeze_spaces("text")).alias("normalised"), numerics.short_hash("text").alias("raw"))
 
 
-@query("manifest_tall", "SELECT 'd' || o_custkey % 9 AS doc, o_orderkey % 28 AS layer, CASE WHEN o_orderkey % 2 = 0 THEN 'k' ELSE 'v' END AS kind, c, mode, round(o_totalprice / 1000 / c, 6) AS ratio FROM orders, (VALUES (0.1, 'fixed'), (0.03, 'plain')) t(c, mode) WHERE o_orderkey <= 3000 AND o_totalprice > 0")
+@query("manifest_tall", "SELECT 'd' || o_custkey % 9 AS doc, o_orderkey % 28 AS layer, CASE WHEN o_orderkey % 2 = 0 THEN 'k' ELSE 'v' END AS kind, c, mode, round(o_totalprice / 1000 / c, 6) AS ratio FROM orders, (VALUES (0.1, 'fixed'), (0.03, 'plain')) t(c, mode) WHERE o_totalprice > 0")
 def manifest_tall(spark, sf_dir):
     """Observations written as JSON with results keyed by c and mode, read and made tall."""
     rows = table(spark, sf_dir, "orders").select(

@@ -28,24 +28,7 @@ def ratio_rollup_segment(spark, sf_dir):
     return rounded(trials.ratio_rollup(trial_rows(spark, sf_dir), ["path"], "segment"), 9, "ratio")
 
 
-_DRAW = "CAST(concat('0x', substr(md5(concat_ws('|', '{seed}', CAST(k AS VARCHAR), CAST(replicate AS VARCHAR), CAST(draw AS VARCHAR))), 1, 8)) AS BIGINT) % n"
-
-
-def boot_sql(units: str, select: str, draws: int, seed: int) -> str:
-    """units: a query giving k, unit, value."""
-    return f"""WITH u AS ({units}), l AS (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY unit) - 1 AS idx FROM u), s AS (SELECT k, count(*) AS n FROM l GROUP BY k),
-    d AS (SELECT k, replicate, {_DRAW.format(seed=seed)} AS idx FROM (SELECT k, n, replicate, unnest(range(n)) AS draw FROM (SELECT k, n, unnest(range({draws})) AS replicate FROM s))),
-    m AS (SELECT k, replicate, avg(value) AS mean FROM d JOIN l USING (k, idx) GROUP BY ALL) {select}"""
-
-
-@query(
-    "bootstrap_ratio_ci",
-    boot_sql(
-        "SELECT l_linestatus AS k, l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS unit, ln((1 - l_discount) * (1 + l_tax)) AS value FROM lineitem WHERE l_orderkey <= 60",
-        "SELECT k AS path, round(exp(quantile_cont(mean, 0.025)), 6) AS low, round(exp(quantile_cont(mean, 0.975)), 6) AS high, CASE WHEN exp(quantile_cont(mean, 0.975)) < 1 THEN 'faster' WHEN exp(quantile_cont(mean, 0.025)) < 1 THEN 'undetermined' ELSE 'slower' END AS verdict FROM m GROUP BY k",
-        400, 1,
-    ),
-)
+@query("bootstrap_ratio_ci")
 def bootstrap_ratio_ci(spark, sf_dir):
     rows = trial_rows(spark, sf_dir).withColumn("unit", F.col("pair") * 10_000_000_000 + F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
     ci = resample.ratio_interval(rows, "path", "unit", draws=5000, seed=1)
@@ -130,7 +113,7 @@ def _grid(spark, values, name):
 
 
 BANDWIDTHS, MARGINS = (1, 5, 12.5, 32, 64, 450), (0, 0.0001, 0.001)
-_POLICY = f"""pay AS (SELECT p_partkey AS payload, CAST(p_size AS BIGINT) * 1000000 AS original_bytes, p_retailprice FROM part WHERE p_partkey <= 400),
+_POLICY = f"""pay AS (SELECT p_partkey AS payload, CAST(p_size AS BIGINT) * 1000000 AS original_bytes, p_retailprice FROM part),
 cand AS (SELECT payload, original_bytes, o AS cand_ord, 'w' || w AS label, CAST(floor(original_bytes * w / 16) AS BIGINT) AS compressed_bytes, p_retailprice * w / 1e7 AS enc, p_retailprice / 1e7 AS dec, (payload + o) % 7 <> 0 AS quality_ok FROM pay, (VALUES (0, 4), (1, 6), (2, 8)) c(o, w)),
 grid AS (SELECT payload, original_bytes, bw, margin FROM pay, (VALUES {', '.join(f'(CAST({float(b)} AS DOUBLE))' for b in BANDWIDTHS)}) b(bw), (VALUES {', '.join(f'(CAST({float(m)} AS DOUBLE))' for m in MARGINS)}) m(margin)),
 net AS (SELECT g.payload, g.bw, g.margin, c.label, c.cand_ord, c.compressed_bytes, c.enc + c.dec AS cost, g.original_bytes / (g.bw * 1e9) - c.compressed_bytes / (g.bw * 1e9) - (c.enc + c.dec + g.margin) AS net_s FROM grid g JOIN cand c USING (payload) WHERE c.quality_ok),
@@ -168,10 +151,10 @@ def break_even(spark, sf_dir):
     return _candidates(spark, sf_dir).select("payload", "label", F.round(be, 6).alias("break_even_gbps"), policy.transport_verdict(F.lit(12.5), be).alias("verdict"))
 
 
-@query("bw_sweep", f"WITH {_POLICY} SELECT payload, step, round(pow(10.0, -1 + step * 4.0 / 255), 6) AS bw_gbps, round((original_bytes - compressed_bytes) / (pow(10.0, -1 + step * 4.0 / 255) * 1e9) - (enc + dec), 6) + 0.0 AS net_s FROM (SELECT *, unnest(range(256)) AS step FROM cand WHERE cand_ord = 1 AND payload <= 20)")
+@query("bw_sweep", f"WITH {_POLICY} SELECT payload, step, round(pow(10.0, -1 + step * 4.0 / 255), 6) AS bw_gbps, round((original_bytes - compressed_bytes) / (pow(10.0, -1 + step * 4.0 / 255) * 1e9) - (enc + dec), 9) + 0.0 AS net_s FROM (SELECT *, unnest(range(256)) AS step FROM cand WHERE cand_ord = 1)")
 def bw_sweep(spark, sf_dir):
     costs = _candidates(spark, sf_dir).where("cand_ord = 1").select("payload", "original_bytes", "compressed_bytes", (F.col("t_encode_s") + F.col("t_decode_s")).alias("cost_s"))
-    return rounded(policy.sweep(costs).select("payload", "step", "bw_gbps", "net_s"), 6, "bw_gbps", "net_s")
+    return rounded(rounded(policy.sweep(costs).select("payload", "step", "bw_gbps", "net_s"), 6, "bw_gbps"), 9, "net_s")
 
 
 # ---- quality ----
@@ -233,11 +216,7 @@ def quality_contrast_2x2(spark, sf_dir):
     return rounded(quality.contrast_2x2(_baseline(spark, sf_dir), *_arms(spark, sf_dir)[:4]), 9, "interaction")
 
 
-@query(
-    "bootstrap_delta_ci",
-    boot_sql(f"SELECT a.arm AS k, a.doc AS unit, a.mean_nll - b.mean_nll AS value FROM (SELECT user_id AS doc, event_type AS arm, avg(value) AS mean_nll FROM events GROUP BY ALL) a JOIN (SELECT user_id AS doc, event_type AS arm, avg(value) AS mean_nll FROM events GROUP BY ALL) b ON b.doc = a.doc AND b.arm = {_ARM0} WHERE a.arm <> {_ARM0}",
-             "SELECT k AS arm, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, quantile_cont(mean, 0.025) < 0 AND quantile_cont(mean, 0.975) > 0 AS crosses_zero FROM m GROUP BY k", 300, 2),
-)
+@query("bootstrap_delta_ci")
 def bootstrap_delta_ci(spark, sf_dir):
     d = quality.deltas(_baseline(spark, sf_dir), _arms(spark, sf_dir)[0])
     ci = resample.bootstrap_interval(d, "arm", "doc", "delta", draws=5000, seed=2)
