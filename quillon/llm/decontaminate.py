@@ -5,8 +5,11 @@ none, is one window). Every document is scanned once in a Python worker: words a
 whole byte buffer, windows of each length that occurs are looked up in the hash set, and each hit
 is compared word by word, so a hash collision never counts. There is no shuffle.
 
-The windows travel as a broadcast only up to `block_bytes` of benchmark text; a larger benchmark
-is dealt into blocks of that size by hash, and the documents pass one scan after another.
+The executors cut the items into pieces of at most `PIECE_WORDS` words that overlap by a window less
+a word, so that one long item is many pieces. The set of a block of pieces is a few flat arrays (about six
+times its bytes) and travels as a broadcast only up to `block_bytes` of pieces; a larger benchmark is dealt
+into blocks of that size by hash, and the documents pass one scan after another, each written before
+the next.
 
 Defined results: null and empty texts have no words and are clean; an empty benchmark hits nothing;
 items repeated under one id count once; items without an id mark words but are not named;
@@ -24,59 +27,131 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, U64, bounded_batches, run_hashes, slices, table, text_bytes, word_hashes, words
+from .common import ALNUM, LOWER, U64, bounded_batches, run_hashes, slices, stage, table, text_bytes, unstage, word_hashes, words
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+PIECE_WORDS = 20_000
 _BITS = 22
+_AT_ONCE = 1 << 16
 
 
-def _words_of(text: str | None) -> list[bytes]:
-    data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    s, e, _ = words(data, np.array([0, len(data)]), ALNUM)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(s, e)]
+def item_pieces(items: DataFrame, n: int) -> DataFrame:
+    """items: item, words (a text). Returns item, piece: lower-cased words with single blanks between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "words"):
+                data, offsets = text_bytes(part.column("words"))
+                data = LOWER[data]
+                s, e, row = words(data, offsets, ALNUM)
+                raw, first = data.tobytes(), np.searchsorted(row, np.arange(part.num_rows + 1))
+                names, out = [], []
+                for i, name in enumerate(part.column("item").to_pylist()):
+                    a, b = int(first[i]), int(first[i + 1])
+                    for k in range(a, max(a + 1, b - n + 1) if b > a else a, PIECE_WORDS):
+                        names.append(name)
+                        out.append(b" ".join(raw[x:y] for x, y in zip(s[k : min(b, k + PIECE_WORDS + n - 1)], e[k : min(b, k + PIECE_WORDS + n - 1)])).decode())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], names=["item", "piece"])
+
+    return items.mapInArrow(run, "item string, piece string").distinct()
+
+
+def _places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i] .. starts[i] + counts[i] - 1, one run after another."""
+    upto = np.cumsum(counts)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - (upto - counts), counts)
+
+
+def same_words(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the sizes[k] words from word i[k] of a and from word j[k] of b are the same bytes.
+    a, b: (bytes, starts, ends of words)."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), _AT_ONCE):
+        part = slice(at, at + _AT_ONCE)
+        n = sizes[part].astype(np.int64)
+        x, y = _places(i[part], n), _places(j[part], n)
+        length = (a[2][x] - a[1][x]).astype(np.int64)
+        equal = length == b[2][y] - b[1][y]
+        some = np.flatnonzero(equal)
+        left, right = a[0][_places(a[1][x[some]], length[some])], b[0][_places(b[1][y[some]].astype(np.int64), length[some])]
+        if len(some):
+            equal[some] = np.logical_and.reduceat(left == right, np.cumsum(length[some]) - length[some])
+        out[part] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return out
 
 
 class WindowSet:
-    """The windows of some benchmark items: hash to (words, item ids), with a bitmap before the search."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], n: int = WINDOW):
-        found: dict[bytes, tuple[int, set[str]]] = {}
-        for item, text in items:
-            w = _words_of(text)
-            size = min(n, len(w))
-            for at in range(len(w) - size + 1 if size else 0):
-                ids = found.setdefault(b" ".join(w[at : at + size]), (size, set()))[1]
-                if item is not None:
-                    ids.add(item)
-        self.sizes = sorted({size for size, _ in found.values()})
-        self.by_hash: dict[int, list[tuple[bytes, frozenset[str]]]] = {}
-        for phrase, (size, ids) in found.items():
-            data = np.frombuffer(phrase, np.uint8)
-            s, e, _ = words(data, np.array([0, len(data)]), ALNUM)
-            self.by_hash.setdefault(int(run_hashes(word_hashes(data, s, e), size)[0]), []).append((phrase, frozenset(ids)))
-        self.hashes = np.array(sorted(self.by_hash), U64)
+    """The windows of some pieces: sorted hashes with one place of each phrase and its items, and a
+    bitmap before the search. Phrases whose hashes collide are in layers of their own."""
+
+    def __init__(self, pieces: list[tuple[str | None, str]], n: int = WINDOW):
+        self.names = sorted({i for i, _ in pieces if i is not None})
+        number = {x: k for k, x in enumerate(self.names)}
+        raw = [p.encode() for _, p in pieces]
+        item = np.array([number.get(i, -1) for i, _ in pieces], np.int64)
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in raw]))).astype(np.int64)
+        s, e, row = words(data, offsets, ALNUM)
+        self.text = (data, s.astype(np.int32), e.astype(np.int32))
+        counts = np.bincount(row, minlength=len(raw))
+        size_of = np.minimum(n, counts)
+        h = word_hashes(data, s, e)
+        self.sizes = [int(x) for x in np.unique(size_of[counts > 0])]
+        found = []
+        for size in self.sizes:
+            at = np.flatnonzero((row[: len(row) - size + 1] == row[size - 1 :]) & (size_of[row[: len(row) - size + 1]] == size))
+            found.append((run_hashes(h, size)[at], at, np.full(len(at), size), item[row[at]]))
+        hashes, at, sizes, items = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(zip(*found) if found else ((),) * 4, (U64, np.int64, np.int64, np.int64)))
+        order = np.argsort(hashes, kind="stable")
+        hashes, at, sizes, items = hashes[order], at[order], sizes[order], items[order]
+        self.layers: list[tuple[np.ndarray, ...]] = []  # hash, word, size, first item place of each phrase; items
+        while len(hashes):
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            group = np.cumsum(np.append(True, hashes[1:] != hashes[:-1])) - 1
+            same = (sizes == sizes[first][group]) & same_words(self.text, at, self.text, at[first][group], np.minimum(sizes, sizes[first][group]))
+            pairs = np.unique(np.stack([group[same & (items >= 0)], items[same & (items >= 0)]]), axis=1)
+            self.layers.append((hashes[first], at[first].astype(np.int32), sizes[first].astype(np.uint16), np.searchsorted(pairs[0], np.arange(len(first) + 1)).astype(np.int32), pairs[1].astype(np.int32)))
+            hashes, at, sizes, items = hashes[~same], at[~same], sizes[~same], items[~same]
         self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[self.hashes >> U64(64 - _BITS)] = True
+        for layer in self.layers:
+            self.bitmap[layer[0] >> U64(64 - _BITS)] = True
 
     def find(self, data: np.ndarray, offsets: np.ndarray):
-        """(words per row, [(row, first word in row, words in window, item ids)]) of lower-cased texts."""
+        """(words per row; row, first word in row and words of each hit window; row and item of each
+        item that occurs, both ascending) of lower-cased texts."""
         s, e, row = words(data, offsets, ALNUM)
         counts = np.bincount(row, minlength=len(offsets) - 1)
-        hits: list[tuple[int, int, int, frozenset[str]]] = []
-        if not len(s) or not len(self.hashes):
-            return counts, hits
-        h, first = word_hashes(data, s, e), np.cumsum(counts) - counts
-        for size in self.sizes:
-            runs = run_hashes(h, size)
-            at = np.flatnonzero(self.bitmap[runs >> U64(64 - _BITS)])
-            at = at[row[at] == row[at + size - 1]]
-            place = np.minimum(np.searchsorted(self.hashes, runs[at]), len(self.hashes) - 1)
-            for k in at[self.hashes[place] == runs[at]].tolist():
-                phrase = b" ".join(data[s[j] : e[j]].tobytes() for j in range(k, k + size))
-                hits += [(int(row[k]), int(k - first[row[k]]), size, ids) for p, ids in self.by_hash[int(runs[k])] if p == phrase]
-        return counts, hits
+        hits, named = [np.zeros((3, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+        if len(s) and self.layers:
+            h, first = word_hashes(data, s, e), np.cumsum(counts) - counts
+            for size in self.sizes:
+                runs = run_hashes(h, size)
+                at = np.flatnonzero(self.bitmap[runs >> U64(64 - _BITS)])
+                at = at[row[at] == row[at + size - 1]]
+                for hashes, word, sizes, start, items in self.layers:
+                    place = np.minimum(np.searchsorted(hashes, runs[at]), len(hashes) - 1)
+                    near = (hashes[place] == runs[at]) & (sizes[place] == size)
+                    k, p = at[near], place[near]
+                    ok = same_words((data, s, e), k, self.text, word[p].astype(np.int64), np.full(len(k), size))
+                    k, p = k[ok], p[ok]
+                    hits.append(np.stack([row[k], k - first[row[k]], np.full(len(k), size)]))
+                    once = np.unique(np.stack([row[k], p]), axis=1)
+                    times = (start[once[1] + 1] - start[once[1]]).astype(np.int64)
+                    named.append(np.stack([np.repeat(once[0], times), items[_places(start[once[1]].astype(np.int64), times)]]))
+        return counts, np.concatenate(hits, axis=1), np.unique(np.concatenate(named, axis=1), axis=1)
+
+
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that overlap or touch inside a row as one, ascending."""
+    order = np.lexsort((end, start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    wide = int(end.max()) + 2
+    reach = np.maximum.accumulate(row * wide + end)
+    new = np.append(True, row[1:] * wide + start[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    return row[at], start[at], reach[np.append(at[1:], len(row)) - 1] - row[at] * wide
 
 
 def _scan(window_set, out_schema: pa.Schema, text: str, kept: list[str], earlier: bool):
@@ -87,52 +162,47 @@ def _scan(window_set, out_schema: pa.Schema, text: str, kept: list[str], earlier
         for batch in batches:
             for part in slices(batch, text):
                 data, offsets = text_bytes(part.column(text))
-                counts, hits = found.find(LOWER[data], offsets)
-                spans: list[list[tuple[int, int]]] = [[] for _ in range(part.num_rows)]
-                items: list[set[str]] = [set() for _ in range(part.num_rows)]
+                counts, (row, start, size), (of, item) = found.find(LOWER[data], offsets)
+                end, names = start + size, [[] for _ in range(part.num_rows)]
+                for i, k in zip(of.tolist(), item.tolist()):
+                    names[i].append(found.names[k])
                 if earlier:
-                    for i, (a, b) in enumerate(zip(part.column("hit_spans").to_pylist(), part.column("item_ids").to_pylist())):
-                        spans[i] += [(x["start"], x["end"]) for x in a]
-                        items[i].update(b)
-                for i, start, size, ids in hits:
-                    spans[i].append((start, start + size))
-                    items[i].update(ids)
-                columns = [part.column(c) for c in kept]
-                columns.append(pa.array(counts, pa.int64()))
-                columns.append(pa.array([[{"start": a, "end": b} for a, b in _merged(x)] for x in spans], out_schema.field("hit_spans").type))
-                columns.append(pa.array([sorted(x) for x in items], pa.list_(pa.string())))
+                    before = [(i, x["start"], x["end"]) for i, a in enumerate(part.column("hit_spans").to_pylist()) for x in a]
+                    more = np.array(before, np.int64).reshape(-1, 3).T
+                    row, start, end = np.concatenate([row, more[0]]), np.concatenate([start, more[1]]), np.concatenate([end, more[2]])
+                    names = [sorted({*a, *b}) for a, b in zip(names, part.column("item_ids").to_pylist())]
+                row, start, end = merged(row, start, end)
+                spans = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["start", "end"])
+                spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)), spans)
+                columns = [*(part.column(c) for c in kept), pa.array(counts, pa.int64()), spans.cast(out_schema.field("hit_spans").type), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
 
     return run
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, hit_spans (word positions) and item_ids of the benchmark windows found in them."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("words"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
+    pieces = stage(item_pieces(benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("words")), n), "benchmark-pieces")
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // block_bytes))
     out = docs.drop("n_words", "hit_spans", "item_ids")
     base = T.StructType(list(out.schema.fields))
     full = T.StructType(base.fields + T._parse_datatype_string("n_words bigint, hit_spans array<struct<start:int,end:int>>, item_ids array<string>").fields)
     arrow = to_arrow_schema(full)
     for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b)
-        window_set = spark.sparkContext.broadcast(WindowSet([(r["item"], r["words"]) for r in part.collect()], n))
-        out = out.mapInArrow(_scan(window_set, arrow, text, base.names, b > 0), full)
+        part = pieces if blocks == 1 else pieces.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == b)
+        rows = part.toArrow()  # a block: about block_bytes
+        window_set = spark.sparkContext.broadcast(WindowSet(list(zip(rows.column("item").to_pylist(), rows.column("piece").to_pylist())), n))
+        scanned = out.mapInArrow(_scan(window_set, arrow, text, base.names, b > 0), full)
+        if b + 1 < blocks:
+            scanned = stage(scanned, "benchmark-scan")
+            unstage(out)
+        out = scanned
+    unstage(pieces)
     return out
 
 
