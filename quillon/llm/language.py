@@ -32,7 +32,8 @@ BUCKETS = 1 << 15
 DIM = 16
 SIZES = (2, 3, 4)
 TRAIN_ROWS = 3000
-MAX_LANGUAGES = 200
+#: Languages that one model may have; more are an error, never left out.
+MAX_LANGUAGES = 10_000
 ACCEPTED_ERROR = 0.01
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
@@ -149,7 +150,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("id"), FOLDS) != HELD_OUT))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     names = sorted(r["lang"] for r in counts)

@@ -36,7 +36,9 @@ from .common import free_name, table
 ROUNDS, STRING_ROUNDS = 8, 4
 #: Draws of a card inside a longer run; each fails with a probability of about 1/10 for each longer run.
 WALK = 32
-KEY = "change-me"
+#: The session setting that holds the key; its name is one that Spark redacts. The registered query
+#: has a key of its own where it is unset, as its pseudonyms protect nobody.
+KEY_SETTING, QUERY_KEY = "spark.quillon.pseudonym.secret", "registered-query"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 NANP = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
@@ -214,7 +216,7 @@ def _date(m: Column, key: str, reveal: bool) -> Column:
     return F.when(m.rlike("^[0-9]{4}"), F.concat(y, mark, mo, mark, d)).when(m.contains("."), F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
 
 
-def pseudonym(m: Column, key: str = KEY, reveal: bool = False) -> Column:
+def pseudonym(m: Column, key: str, reveal: bool = False) -> Column:
     """The pseudonym of one match of PATTERN; the match itself where it is not valid."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     local = F.regexp_extract(m, "^[^@]+", 0)
@@ -232,8 +234,13 @@ def pseudonym(m: Column, key: str = KEY, reveal: bool = False) -> Column:
     return F.coalesce(made, m)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, reveal: bool = False) -> DataFrame:
-    """docs with the text pseudonymised, and n_replaced."""
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, reveal: bool = False) -> DataFrame:
+    """docs with the text pseudonymised, and n_replaced. The key is an argument or the session's
+    setting KEY_SETTING; without either it is an error. It is a literal of the plan, so keep plans and
+    event logs as safe as the key."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"give a key or set {KEY_SETTING}")
     found, made = free_name(docs, "pii_found"), free_name(docs, "pii_made")
     docs = docs.drop("n_replaced")
     may = F.col(text).rlike(r"[0-9@]|(?i:password|passwd|pwd|token|secret|api_key)")
@@ -247,4 +254,4 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, reveal: bo
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=spark.conf.get(KEY_SETTING, QUERY_KEY))

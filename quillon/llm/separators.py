@@ -3,9 +3,9 @@
 A flat file is little-endian ids one after another, two bytes each where the vocabulary allows it,
 each document followed by the separator. Here it is a table of consecutive fixed-size blocks (part,
 block, payload) that pay no heed to documents. Every block is searched by one vector comparison,
-by itself; documents that cross blocks are stitched by a prefix scan over one small row per block
-(ids so far, documents so far, last separator so far), first inside runs of `RUN` blocks and then
-over the runs, so that one huge file does not become one task.
+by itself; documents that cross blocks are stitched by a prefix scan over one row per block (ids so
+far, documents so far, last separator so far, and the block's separators, 8 bytes a document), first
+inside runs of `RUN` blocks and then over the runs, so that one huge file does not become one task.
 
 Defined results: an empty document has 0 ids; ids after the last separator are one more document,
 marked as not terminated; an empty file has no documents; a block that is not whole ids is an error.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, slices, table
+from .common import bounded_batches, shared_dir, slices, small_or_not, table
 from .tokens import encoder
 
 BLOCK_IDS = 1 << 19
@@ -73,14 +73,23 @@ def flat_blocks(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, doc
 
 
 def flat_files(spark: SparkSession, path: str, separator: int = SEPARATOR, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """part, block, payload of raw flat files (each at most 2 GB, Spark's limit for a binary value)."""
+    """part, block, payload of raw flat files, numbered by their paths. A file is cut where it is read,
+    and only its blocks go on. Spark reads a file as one value, so one above 2 GB is an error; larger
+    corpora are several files, or tables of blocks as `flat_blocks` writes them."""
     size = block_ids * id_type(separator).itemsize
     files = spark.read.format("binaryFile").load(path)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                data = content.as_buffer()
+                for k in range(-(-len(data) // size)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([k], pa.int64()), pa.array([data[k * size : (k + 1) * size]], pa.binary())], names=["path", "block", "payload"])
+
     part = F.dense_rank().over(Window.orderBy("path")) - 1  # one row per file
-    named = files.select("path").withColumn("part", part.cast("int"))
-    cut = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.floor((F.col("length") - 1) / size)).cast("bigint")))
-    blocks = files.where("length > 0").select("path", "content", cut.alias("block")).join(named, "path")
-    return blocks.select("part", "block", F.expr(f"substring(content, CAST(block * {size} AS INT) + 1, {size})").alias("payload"))
+    named = files.select(F.col("path").alias("of"), part.cast("int").alias("part"))
+    blocks = files.select("path", "content").mapInArrow(cut, "path string, block bigint, payload binary")
+    return blocks.join(small_or_not(named, 512), F.col("path") == F.col("of")).select("part", "block", "payload")
 
 
 def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:

@@ -16,7 +16,7 @@ def luhn(digits):
 def test_notations(spark):
     more = [f"4111 1111 1111 1111 {i:03d}" for i in range(0, 1000, 25)]
     docs = spark.createDataFrame(list(enumerate(TEXTS + more)), "doc_id long, text string")
-    made = pseudonyms.pseudonymise(docs)
+    made = pseudonyms.pseudonymise(docs, key="k")
     rows = [(r["text"], r["n_replaced"]) for r in made.orderBy("doc_id").collect()]
     out = [t for t, _ in rows]
     assert [n for _, n in rows[: len(TEXTS)]] == [1, 1, 1, 1, 1, 1, 0, 1, 1, 0]
@@ -27,5 +27,5 @@ def test_notations(spark):
     assert luhn(out[7][:19].replace(" ", "")) and out[7].endswith(" 123") and out[7][:19] != TEXTS[7][:19]
     assert luhn(out[8][3:].replace("-", "")) and out[8].startswith("12 ")
     assert all(a != b for a, b in zip(more, out[len(TEXTS) :]))
-    back = pseudonyms.pseudonymise(made, reveal=True)
+    back = pseudonyms.pseudonymise(made, key="k", reveal=True)
     assert [r["text"] for r in back.orderBy("doc_id").collect()] == TEXTS + more
