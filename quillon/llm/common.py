@@ -7,6 +7,8 @@ class is the same as a code-point class, and all bytes from 0x80 on belong to wo
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -79,6 +81,16 @@ def small_or_not(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_BYTES // row_bytes + 1).count() <= BROADCAST_BYTES // row_bytes else df
 
 
+def release_memory() -> None:
+    """Give what this process no longer uses back to the system: the driver holds no fitted tables for good."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

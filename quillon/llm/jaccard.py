@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, U64, bounded_batches, free_name, mix64, run_hashes, slices, small_or_not, stage, table, text_bytes, unstage, word_hashes, words
+from .common import LOWER, SPACED, U64, bounded_batches, free_name, mix64, release_memory, run_hashes, slices, small_or_not, stage, table, text_bytes, unstage, word_hashes, words
 from .hubs import link_groups
 
 FRAGMENTS = 8
@@ -299,6 +299,7 @@ def bitmap_of(rows: DataFrame, *columns: str) -> np.ndarray:
 def kept_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """class and sorted shingles of the wanted sets, each read again from one document."""
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "doc_id", "text_hash"))
+    release_memory()
     placed = docs.select("text", _place("doc_id", "text_hash").alias("place"))
 
     def make(part, shingles, sizes):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, bounded_batches, slices, stage, table, text_bytes, unstage, words
+from .common import SPACED, bounded_batches, release_memory, slices, stage, table, text_bytes, unstage, words
 
 MAX_REPEATS = 3
 MAX_SOURCES = 100_000
@@ -186,6 +186,8 @@ def plan_mix(sized: DataFrame, seed: int = SEED, shards: int | None = None) -> M
             }
         )
     )
+    del keys, words_of, whole, draws, part
+    release_memory()
     return MixPlan(sources, blocks, seed, shards)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, U64, bounded_batches, mix64, slices, stage, table, text_bytes, word_hashes, words
+from .common import SPACED, U64, bounded_batches, mix64, release_memory, slices, stage, table, text_bytes, unstage, word_hashes, words
 from .training import bounded_sample, crc_fold, fit_temperature, row_sums, softmax
 
 SLOTS = 1 << 15
@@ -172,8 +172,8 @@ def _context_table(rows: DataFrame, text: str) -> np.ndarray:
     added = rows.select(text).mapInArrow(run, schema)
     sums = added.groupBy("slot").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(DIM)]).alias("sums"))
     out = np.zeros((SLOTS, DIM), np.float64)
-    for r in sums.toLocalIterator():
-        out[r["slot"]] = r["sums"]
+    got = sums.toArrow()
+    out[got.column("slot").to_numpy()] = got.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, DIM)
     return (out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
 
@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marked = bounded_sample(marked, F.col("label_id"), most, SEED).select("label_id", "y")  # at most `most` rows
     texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("label_id"), F.col(f"`{text}`").alias("text"))
     rows = texts.join(F.broadcast(marked), "label_id")
-    rows = stage(rows.groupBy("label_id", "y").agg(F.min("text").alias("text")), "quality-train").coalesce(TRAIN_TASKS)
+    rows_ = stage(rows.groupBy("label_id", "y").agg(F.min("text").alias("text")), "quality-train")
+    rows = rows_.coalesce(TRAIN_TASKS)
     context = _context_table(rows, "text")
     shared = spark.sparkContext.broadcast(_vectors(context))
 
@@ -201,9 +202,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 x = pooled(*text_bytes(part.column("text")), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("label_id"), part.column("y"), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["label_id", "y", "x"])
 
-    got = rows.mapInArrow(run, "label_id bigint, y int, x array<float>").toPandas().sort_values("label_id", kind="stable")
-    x = np.stack(got["x"].to_list()).astype(np.float64) if len(got) else np.zeros((0, 4 * DIM + 5))
-    return fit_network(x, got["y"].to_numpy(np.int64), context)
+    got = rows.mapInArrow(run, "label_id bigint, y int, x array<float>").toArrow()
+    order = np.argsort(got.column("label_id").to_numpy(), kind="stable")
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 4 * DIM + 5)[order].astype(np.float64)
+    y = got.column("y").to_numpy()[order].astype(np.int64)
+    del got
+    model = fit_network(x, y, context)
+    shared.unpersist()
+    unstage(rows_)
+    del x
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:

@@ -84,7 +84,7 @@ def flat_files(spark: SparkSession, path: str, separator: int = SEPARATOR, block
             for name, content in zip(batch.column("path"), batch.column("content")):
                 data = content.as_buffer()
                 for k in range(-(-len(data) // size)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([k], pa.int64()), pa.array([data[k * size : (k + 1) * size]], pa.binary())], names=["path", "block", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([k], pa.int64()), pa.array([data.slice(k * size, min(size, len(data) - k * size)).to_pybytes()], pa.binary())], names=["path", "block", "payload"])
 
     part = F.dense_rank().over(Window.orderBy("path")) - 1  # one row per file
     named = files.select(F.col("path").alias("of"), part.cast("int").alias("part"))
