@@ -59,9 +59,9 @@ def test_words_follow_the_pattern(inside, pattern):
     assert got == [re.findall(pattern, t or "") for t in texts]
 
 
-@pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
+@pytest.mark.parametrize("shape", ["chain", "star", "done", "random", "none"])
 def test_components(spark, shape):
-    edges = {"chain": [(i, i + 1) for i in range(60)], "star": [(99, i) for i in range(60)], "random": [(random.Random(i).randrange(80), random.Random(i + 999).randrange(80)) for i in range(60)], "none": []}[shape]
+    edges = {"chain": [(i, i + 1) for i in range(60)], "star": [(99, i) for i in range(60)], "done": [(i % 3, i) for i in range(3, 40)], "random": [(random.Random(i).randrange(80), random.Random(i + 999).randrange(80)) for i in range(60)], "none": []}[shape]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame([*edges, *edges[:5]], "a long, b long")).collect()}
     want = components({x for e in edges for x in e}, edges)
     assert got == {n: r for n, r in want.items() if n != r}
