@@ -3,14 +3,15 @@
 * Words `[^\\x20\\x09-\\x0D]+` are hashed into `SLOTS` slots, and so is each word's shape (letters
   to a or A, digits to 0, runs shortened), which stands beside it as a second word.
 * Random indexing: each slot has a sparse random index vector; its context vector is the sum of
-  the index vectors of the words within `REACH` places, over the training rows.
+  the index vectors of the words within `REACH` places, over all documents, labelled or not.
 * A document is the mean of the index vectors and of the context vectors of its words and shapes,
   plus the norms of these means (repetition shows in them) and its number of words on a log scale.
 * The network is trained with Adam on at most `TRAIN_ROWS` labelled rows (the smallest hashes of
   their ids, so the bound does not depend on the input); a fifth of them sets the temperature.
 
 Only the context table (slots x dimension) and the training vectors (rows x dimension), both of a
-fixed size, reach the driver. Scoring is one pass over the whole texts without a shuffle.
+fixed size, reach the driver. The context table is one pass over the whole texts that shuffles one
+row per task and slot, scoring is another without a shuffle.
 
 Defined results: null texts are empty texts and are scored as such; rows with a null id are never
 trained on and are not held out; repeated labels of a document are averaged; without rows of both
@@ -40,6 +41,9 @@ TRAIN_TASKS = 8
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 SEED = 7
+#: Words whose contexts are summed at once, and words after which a task hands its sums on; a word adds
+#: at most 16 to a sum, so sums fit 32 bits.
+CONTEXT_WORDS, FLUSH_WORDS = 1 << 19, 1 << 26
 
 #: Shape of a byte: a letter's case, a digit, or the byte itself.
 _SHAPE = np.array([97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
@@ -155,21 +159,44 @@ def fit_network(x: np.ndarray, y: np.ndarray, context: np.ndarray, hidden: int =
     return model
 
 
-def _context_table(rows: DataFrame, text: str) -> np.ndarray:
-    """The context vectors of the training rows, summed by slot on the executors."""
-    schema = T._parse_datatype_string("slot int, sums array<double>")
+def _context_table(docs: DataFrame, text: str) -> np.ndarray:
+    """The context vectors of all texts, summed by slot on the executors. The sums are whole numbers,
+    so they do not depend on the order of rows or tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, out = index_places(), np.zeros((SLOTS, DIM))
+        waiting, rows, held, total = [], 0, 0, 0
+
+        def add() -> None:
+            word, shape, row = (np.concatenate(x) for x in zip(*waiting))
+            context_sums(word, row, entries, out)
+            context_sums(shape, row, entries, out)
+            waiting.clear()
+
+        def made() -> pa.RecordBatch:
+            seen = np.flatnonzero(out.any(axis=1))
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1, dtype=np.int32) * DIM), pa.array(out[seen].astype(np.int32).reshape(-1)))
+            out[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), sums], names=["slot", "sums"])
+
         for batch in batches:
             for part in slices(batch, text, 1 << 20):
                 word, shape, row = token_slots(*text_bytes(part.column(text)))
-                context_sums(word, row, entries, out)
-                context_sums(shape, row, entries, out)
-        seen = np.flatnonzero(np.abs(out).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(list(out[seen].astype(np.float64)), pa.list_(pa.float64()))], names=["slot", "sums"])
-
-    added = rows.select(text).mapInArrow(run, schema)
+                waiting.append((word, shape, row + rows))
+                rows, held, total = rows + part.num_rows, held + len(word), total + len(word)
+                if held >= CONTEXT_WORDS:
+                    add()
+                    held = 0
+                if total >= FLUSH_WORDS:
+                    if waiting:
+                        add()
+                    held = total = 0
+                    yield made()
+        if waiting:
+            add()
+        yield made()
+
+    added = docs.select(text).mapInArrow(run, "slot int, sums array<int>")
     sums = added.groupBy("slot").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(DIM)]).alias("sums"))
     out = np.zeros((SLOTS, DIM), np.float64)
     got = sums.toArrow()
@@ -193,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = texts.join(F.broadcast(marked), "label_id")
     rows_ = stage(rows.groupBy("label_id", "y").agg(F.min("text").alias("text")), "quality-train")
     rows = rows_.coalesce(TRAIN_TASKS)
-    context = _context_table(rows, "text")
+    context = _context_table(texts, "text")
     shared = spark.sparkContext.broadcast(_vectors(context))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -152,3 +153,57 @@ def test_pipeline_keeps_labelled_good_documents(spark, stages):
 
 def test_operators_share_no_module_state():
     assert mix.SEED and tokens.END_ID == 2
+
+
+def plain_slots(text):
+    """(slot of each word, slot of its shape) of one text, by loops over its bytes."""
+    data, out = (text or "").encode(), ([], [])
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", data):
+        one = np.frombuffer(word, np.uint8)
+        for slots, found in zip(out, quality.token_slots(one, np.array([0, len(one)]))):
+            slots.append(int(found[0]))
+    return out
+
+
+def plain_contexts(texts):
+    index, out = quality.index_vectors(), np.zeros((quality.SLOTS, quality.DIM))
+    for text in texts:
+        for slots in plain_slots(text):
+            for i, slot in enumerate(slots):
+                for j in range(max(0, i - quality.REACH), min(len(slots), i + quality.REACH + 1)):
+                    if j != i:
+                        out[slot] += index[slots[j]]
+    return (out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+
+
+def test_contexts_are_summed_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CONTEXT_WORDS", 5)
+    texts = ["The cat saw 12 dogs. The cat ran!", None, "", "one", "The cat saw 12 dogs. The cat ran!", "é é é " * 40, "a b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = plain_contexts(texts)
+    for parts, flush in ((1, 1 << 26), (4, 1 << 26), (2, 7)):
+        monkeypatch.setattr(quality, "FLUSH_WORDS", flush)
+        assert np.array_equal(quality._context_table(docs.repartition(parts), "text"), want)
+    few = quality.train(docs, spark.createDataFrame([(3, 1), (6, 0)], "doc_id long, quality int"))
+    assert np.array_equal(few.context, want)  # words of rows without a label have contexts too
+    assert not quality._context_table(docs.limit(0), "text").any()
+
+
+def test_quality_scores_row_by_row(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.union(docs.limit(3))  # repeated rows
+    model = quality.train(docs, labels)
+    index, context, d = quality.index_vectors().astype(float), model.context.astype(float) * 2, quality.DIM
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model).collect()}
+    for row in docs.collect():
+        both = plain_slots(row["text"])
+        x, norms = [], []
+        for slots in both:
+            for table in (index, context):
+                mean = sum((table[s] for s in slots), np.zeros(d)) / max(len(slots), 1)
+                x.extend(mean)
+                norms.append(np.sqrt((mean * mean).sum()))
+        x = np.array([*x, *norms, np.log(1 + len(both[0])) / 5])
+        hidden = [max(0.0, v) for v in ((x - model.mean) / model.scale) @ model.w1 + model.b1]
+        low, high = (np.array(hidden) @ model.w2 + model.b2) / model.temperature
+        assert abs(got[row["doc_id"]] - 1 / (1 + np.exp(low - high))) < 1e-4
