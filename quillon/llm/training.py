@@ -35,8 +35,8 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def row_sums(vectors: np.ndarray, slots: np.ndarray, row: np.ndarray, rows: int, step: int = 1 << 16) -> np.ndarray:
-    """Sums of vectors[slots] by row (in runs), a bounded number of places at once."""
+def row_sums(vectors: np.ndarray, slots: np.ndarray, row: np.ndarray, rows: int, step: int = 1 << 12) -> np.ndarray:
+    """Sums of vectors[slots] by row (in runs), as many places at once as stay in a processor's cache."""
     out = np.zeros((rows, vectors.shape[1]), np.float64)
     for k in range(0, len(slots), step):
         of = row[k : k + step]
