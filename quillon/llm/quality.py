@@ -159,6 +159,16 @@ def fit_network(x: np.ndarray, y: np.ndarray, context: np.ndarray, hidden: int =
     return model
 
 
+def _seen_sums(out: np.ndarray, kind: type = np.int32) -> Iterator[pa.RecordBatch]:
+    """Hands on the rows of sums that are not all zero, a bounded number at once, and clears them."""
+    seen = np.flatnonzero(out.any(axis=1))
+    for k in range(0, len(seen), 4096):
+        at = seen[k : k + 4096]
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * DIM), pa.array(out[at].astype(kind).reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), sums], names=["slot", "sums"])
+    out[seen] = 0
+
+
 def _context_table(docs: DataFrame, text: str) -> np.ndarray:
     """The context vectors of all texts, summed by slot on the executors. The sums are whole numbers,
     so they do not depend on the order of rows or tasks."""
@@ -173,12 +183,6 @@ def _context_table(docs: DataFrame, text: str) -> np.ndarray:
             context_sums(shape, row, entries, out)
             waiting.clear()
 
-        def made() -> pa.RecordBatch:
-            seen = np.flatnonzero(out.any(axis=1))
-            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1, dtype=np.int32) * DIM), pa.array(out[seen].astype(np.int32).reshape(-1)))
-            out[:] = 0
-            return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), sums], names=["slot", "sums"])
-
         for batch in batches:
             for part in slices(batch, text, 1 << 20):
                 word, shape, row = token_slots(*text_bytes(part.column(text)))
@@ -191,15 +195,22 @@ def _context_table(docs: DataFrame, text: str) -> np.ndarray:
                     if waiting:
                         add()
                     held = total = 0
-                    yield made()
+                    yield from _seen_sums(out)
         if waiting:
             add()
-        yield made()
+        yield from _seen_sums(out)
+        del out
+        release_memory()
+
+    def total_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((SLOTS, DIM))
+        for batch in batches:
+            np.add.at(out, batch.column("slot").to_numpy(), batch.column("sums").flatten().to_numpy().reshape(-1, DIM))
+        yield from _seen_sums(out, np.int64)
 
-    added = docs.select(text).mapInArrow(run, "slot int, sums array<int>")
-    sums = added.groupBy("slot").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(DIM)]).alias("sums"))
+    made = docs.select(text).mapInArrow(run, "slot int, sums array<int>")
+    got = made.repartition("slot").mapInArrow(total_sums, "slot int, sums array<bigint>").toArrow()
     out = np.zeros((SLOTS, DIM), np.float64)
-    got = sums.toArrow()
     out[got.column("slot").to_numpy()] = got.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, DIM)
     return (out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
