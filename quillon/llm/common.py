@@ -12,7 +12,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Text bytes handled at once inside a Python worker; one longer text is still handled whole.
 SLICE_BYTES = 2 << 20
 #: Arrow bytes that Spark sends to a Python worker at once.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 #: A counted table up to this size is broadcast; beyond, joins shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -81,9 +81,8 @@ def small_or_not(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_BYTES // row_bytes + 1).count() <= BROADCAST_BYTES // row_bytes else df
 
 
-def release_memory() -> None:
-    """Give what this process no longer uses back to the system: the driver holds no fitted tables for good."""
-    gc.collect()
+def trim_memory() -> None:
+    """Give freed memory of this process back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -91,6 +90,22 @@ def release_memory() -> None:
         pass
 
 
+def release_memory() -> None:
+    """Collect and give back what this process no longer uses: the driver holds no fitted tables for good."""
+    gc.collect()
+    trim_memory()
+
+
+def tidy(run: Callable) -> Callable:
+    """run over batches, and then freed memory given back, as the worker stays for tasks of later stages."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim_memory()
+
+    return runs
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

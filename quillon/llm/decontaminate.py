@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, U64, bounded_batches, run_hashes, slices, stage, table, text_bytes, unstage, word_hashes, words
+from .common import ALNUM, LOWER, U64, bounded_batches, run_hashes, slices, stage, table, text_bytes, tidy, unstage, word_hashes, words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -54,7 +54,7 @@ def item_pieces(items: DataFrame, n: int) -> DataFrame:
                         out.append(b" ".join(raw[x:y] for x, y in zip(s[k : min(b, k + PIECE_WORDS + n - 1)], e[k : min(b, k + PIECE_WORDS + n - 1)])).decode())
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], names=["item", "piece"])
 
-    return items.mapInArrow(run, "item string, piece string").distinct()
+    return items.mapInArrow(tidy(run), "item string, piece string").distinct()
 
 
 def _places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -237,7 +237,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
                 columns = [pa.array(values, arrow.field(c).type) if c == text else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(tidy(run), schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, U64, bounded_batches, free_name, mix64, release_memory, run_hashes, slices, small_or_not, stage, table, text_bytes, unstage, word_hashes, words
+from .common import LOWER, SPACED, U64, bounded_batches, free_name, mix64, release_memory, run_hashes, slices, small_or_not, stage, table, text_bytes, tidy, unstage, word_hashes, words
 from .hubs import link_groups
 
 FRAGMENTS = 8
@@ -177,7 +177,7 @@ def _rows(docs: DataFrame, schema: str, n: int, make, bitmap=None) -> DataFrame:
                 columns = make(part, *shingle_sets(*text_bytes(part.column("text")), n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.mapInArrow(run, made)
+    return docs.mapInArrow(tidy(run), made)
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -335,7 +335,7 @@ def _of_sets(kept: DataFrame, schema: str, make) -> DataFrame:
                 columns = [names, *(pa.concat_arrays([pa.array(y, f.type) for y in x]) if x else pa.array([], f.type) for x, f in zip(zip(*found), list(arrow)[1:]))]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return kept.select("class", "shingles").mapInArrow(run, made)
+    return kept.select("class", "shingles").mapInArrow(tidy(run), made)
 
 
 def set_signatures(kept: DataFrame, num: int, den: int, level: int = 0) -> DataFrame:

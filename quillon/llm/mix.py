@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, bounded_batches, release_memory, slices, stage, table, text_bytes, unstage, words
+from .common import SPACED, bounded_batches, release_memory, slices, stage, table, text_bytes, tidy, unstage, words
 
 MAX_REPEATS = 3
 MAX_SOURCES = 100_000
@@ -107,7 +107,7 @@ def count_words(docs: DataFrame, text: str, size: str) -> DataFrame:
                 n = np.bincount(row, minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(n, pa.int64())], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def plan_mix(sized: DataFrame, seed: int = SEED, shards: int | None = None) -> MixPlan:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, U64, bounded_batches, mix64, release_memory, slices, stage, table, text_bytes, unstage, word_hashes, words
+from .common import SPACED, U64, bounded_batches, mix64, release_memory, slices, stage, table, text_bytes, tidy, unstage, word_hashes, words
 from .training import bounded_sample, crc_fold, fit_temperature, row_sums, softmax
 
 SLOTS = 1 << 15
@@ -199,8 +199,6 @@ def _context_table(docs: DataFrame, text: str) -> np.ndarray:
         if waiting:
             add()
         yield from _seen_sums(out)
-        del out
-        release_memory()
 
     def total_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((SLOTS, DIM))
@@ -208,8 +206,8 @@ def _context_table(docs: DataFrame, text: str) -> np.ndarray:
             np.add.at(out, batch.column("slot").to_numpy(), batch.column("sums").flatten().to_numpy().reshape(-1, DIM))
         yield from _seen_sums(out, np.int64)
 
-    made = docs.select(text).mapInArrow(run, "slot int, sums array<int>")
-    got = made.repartition("slot").mapInArrow(total_sums, "slot int, sums array<bigint>").toArrow()
+    made = docs.select(text).mapInArrow(tidy(run), "slot int, sums array<int>")
+    got = made.repartition("slot").mapInArrow(tidy(total_sums), "slot int, sums array<bigint>").toArrow()
     out = np.zeros((SLOTS, DIM), np.float64)
     out[got.column("slot").to_numpy()] = got.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, DIM)
     return (out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
@@ -240,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 x = pooled(*text_bytes(part.column("text")), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("label_id"), part.column("y"), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["label_id", "y", "x"])
 
-    got = rows.mapInArrow(run, "label_id bigint, y int, x array<float>").toArrow()
+    got = rows.mapInArrow(tidy(run), "label_id bigint, y int, x array<float>").toArrow()
     order = np.argsort(got.column("label_id").to_numpy(), kind="stable")
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 4 * DIM + 5)[order].astype(np.float64)
     y = got.column("y").to_numpy()[order].astype(np.int64)
@@ -272,7 +270,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
                 p = fitted.score(pooled(*text_bytes(part.column(text)), vectors).astype(np.float64)) if part.num_rows else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, slices, table
+from .common import bounded_batches, shared_dir, slices, table, tidy
 
 END_ID = 2
 BLOCK_IDS = 4096
@@ -228,7 +228,7 @@ def encode_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_i
 
     tie = F.xxhash64("text")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).mapInArrow(run, schema)
+    return rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).mapInArrow(tidy(run), schema)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, **options) -> None:
@@ -258,7 +258,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 
     # one row per partition of the writer
     before = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    found = files.select("part", "doc_ids", "n_tokens", "local_start", "payload").mapInArrow(run, schema)
+    found = files.select("part", "doc_ids", "n_tokens", "local_start", "payload").mapInArrow(tidy(run), schema)
     out = found.join(F.broadcast(before), found["part"] == before["of"])
     return out.select("doc_id", (F.col("local_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
