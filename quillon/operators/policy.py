@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numerics import col, log_space
@@ -46,51 +46,67 @@ def sweep(costs: DataFrame, low: float = 0.1, high: float = 1000.0, n: int = 256
     return rows.withColumn("net_s", net_benefit_s("original_bytes", "compressed_bytes", "bw_gbps", "cost_s"))
 
 
-def considered(payloads: DataFrame, candidates: DataFrame, bandwidths: DataFrame, margins: DataFrame) -> DataFrame:
-    """Every (payload, bandwidth, margin, candidate) with its net benefit; skipped ones say why.
+def offered(payloads: DataFrame, candidates: DataFrame) -> DataFrame:
+    """payload, original_bytes and the payload's candidates in order, null if it has none but passthrough.
 
-    The grids of bandwidths and margins are small literal tables."""
-    grid = payloads.select("payload", "original_bytes").crossJoin(F.broadcast(bandwidths)).crossJoin(F.broadcast(margins))
-    rows = grid.join(candidates.drop("original_bytes"), "payload")
-    cost = codec_cost_s("t_encode_s", "t_decode_s")
-    rows = rows.where(F.col("mode") != "passthrough").withColumn("codec_cost_s", cost)
-    rows = rows.withColumn("skipped", F.when(~F.col("quality_ok"), "quality"))
-    return rows.withColumn("net_s", F.when(F.col("skipped").isNull(), net_benefit_s("original_bytes", "compressed_bytes", "bw_gbps", cost + F.col("margin_s"))))
+    Spark takes exploded candidates for as small as the table behind them, so the join is never left
+    to a broadcast: both sides shuffle once, and all that follows works within a row."""
+    of = candidates.where("mode <> 'passthrough'").groupBy("payload").agg(F.array_sort(F.collect_list(F.struct("cand_ord", "label", "mode", "compressed_bytes", "t_encode_s", "t_decode_s", "quality_ok"))).alias("candidates"))
+    return payloads.select("payload", "original_bytes").join(of.hint("merge"), "payload", "left")
+
+
+def over_grid(rows: DataFrame, *grids: DataFrame) -> DataFrame:
+    """rows at every point of the grids, which are small literal tables."""
+    for grid in grids:
+        rows = rows.crossJoin(F.broadcast(grid))
+    return rows
+
+
+def considered(margin_s="margin_s") -> Column:
+    """label, mode, compressed_bytes, codec_cost_s, net_s, skipped of each of the candidates at a bandwidth and margin; skipped ones say why."""
+
+    def one(c: Column) -> Column:
+        cost = codec_cost_s(c["t_encode_s"], c["t_decode_s"])
+        skipped = F.when(~c["quality_ok"], "quality")
+        net = F.when(skipped.isNull(), net_benefit_s("original_bytes", c["compressed_bytes"], "bw_gbps", cost + col(margin_s)))
+        return F.struct(c["label"].alias("label"), c["mode"].alias("mode"), c["compressed_bytes"].alias("compressed_bytes"), cost.alias("codec_cost_s"), net.alias("net_s"), skipped.alias("skipped"))
+
+    return F.transform("candidates", one)
+
+
+def best_of(log) -> Column:
+    """The entry of a log with the largest strictly positive net benefit (ties: the first), else null."""
+    nets = F.transform(log, lambda c: c["net_s"])
+    most = F.array_max(nets)
+    return F.when(most > 0, F.get(log, (F.array_position(nets, most) - 1).cast("int")))
 
 
 def decide(payloads: DataFrame, candidates: DataFrame, bandwidths: DataFrame, margins: DataFrame) -> DataFrame:
     """The candidate with the largest strictly positive net benefit (ties: the first), else passthrough."""
-    keys = ["payload", "bw_gbps", "margin_s"]
-    rows = considered(payloads, candidates, bandwidths, margins)
-    order = Window.partitionBy(*keys).orderBy(F.desc("net_s"), "cand_ord")
-    best = rows.where(F.col("net_s") > 0).withColumn("place", F.row_number().over(order)).where("place = 1")
-    log = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("cand_ord", "label", "net_s", "skipped"))), lambda x: F.struct(x["label"].alias("label"), x["net_s"].alias("net_s"), x["skipped"].alias("skipped"))).alias("considered"))
-    grid = payloads.select("payload", "original_bytes").crossJoin(F.broadcast(bandwidths)).crossJoin(F.broadcast(margins))
-    out = grid.join(best.select(*keys, "label", "mode", "compressed_bytes", "codec_cost_s", "net_s"), keys, "left").join(log, keys, "left")
-    none = F.col("label").isNull()
-    return out.select(
-        *keys, F.coalesce("mode", F.lit("passthrough")).alias("mode"), F.coalesce("label", F.lit("passthrough")).alias("label"),
-        F.coalesce("net_s", F.lit(0.0)).alias("predicted_saving_s"), F.coalesce("codec_cost_s", F.lit(0.0)).alias("codec_cost_s"),
-        F.col("original_bytes").alias("bytes_before"), F.coalesce("compressed_bytes", "original_bytes").alias("bytes_after"),
-        F.when(none, "not_profitable").otherwise("none").alias("bypass_reason"), "considered",
+    rows = over_grid(offered(payloads, candidates), bandwidths, margins).withColumn("log", considered())
+    rows = rows.withColumn("best", best_of("log"))
+    none = F.col("best").isNull()
+    log = F.transform("log", lambda c: F.struct(c["label"].alias("label"), c["net_s"].alias("net_s"), c["skipped"].alias("skipped")))
+    return rows.select(
+        "payload", "bw_gbps", "margin_s", F.coalesce("best.mode", F.lit("passthrough")).alias("mode"), F.coalesce("best.label", F.lit("passthrough")).alias("label"),
+        F.coalesce("best.net_s", F.lit(0.0)).alias("predicted_saving_s"), F.coalesce("best.codec_cost_s", F.lit(0.0)).alias("codec_cost_s"),
+        F.col("original_bytes").alias("bytes_before"), F.coalesce("best.compressed_bytes", "original_bytes").alias("bytes_after"),
+        F.when(none, "not_profitable").otherwise("none").alias("bypass_reason"), log.alias("considered"),
     )
 
 
-def realised(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """decisions with realised_s: the chosen candidate's benefit without the margin, 0 for passthrough."""
-    c = candidates.select("payload", "label", F.col("compressed_bytes").alias("c_bytes"), (F.col("t_encode_s") + F.col("t_decode_s")).alias("c_cost"))
-    net = net_benefit_s("bytes_before", "c_bytes", "bw_gbps", "c_cost")
-    return decisions.join(c, ["payload", "label"], "left").withColumn("realised_s", F.coalesce(net, F.lit(0.0))).drop("c_bytes", "c_cost")
+def realised_s(best) -> Column:
+    """The benefit of a chosen candidate without the margin, 0 for passthrough."""
+    return F.coalesce(net_benefit_s("original_bytes", col(best)["compressed_bytes"], "bw_gbps", col(best)["codec_cost_s"]), F.lit(0.0))
 
 
 def regret(payloads: DataFrame, candidates: DataFrame, bandwidths: DataFrame, margins: DataFrame) -> DataFrame:
     """Per margin: total and mean shortfall against deciding without a margin, flips and bypasses."""
-    keys = ["payload", "bw_gbps"]
-    made = realised(decide(payloads, candidates, bandwidths, margins), candidates)
-    best = realised(decide(payloads, candidates, bandwidths, margins.limit(1).select(F.lit(0.0).alias("margin_s"))), candidates)
-    both = made.join(best.select(*keys, F.col("realised_s").alias("oracle_s"), F.col("label").alias("oracle_label")), keys)
-    gap = F.col("oracle_s") - F.col("realised_s")
-    return both.groupBy("margin_s").agg(F.count("*").alias("cells"), F.sum(gap).alias("total_regret_s"), F.avg(gap).alias("mean_regret_s"), F.count_if(F.col("label") != F.col("oracle_label")).alias("flips"), F.avg((F.col("mode") == "passthrough").cast("int")).alias("bypass_rate"))
+    rows = over_grid(offered(payloads.where("payload IS NOT NULL"), candidates), bandwidths, margins)
+    rows = rows.withColumn("log", considered()).withColumn("free_log", considered(F.lit(0.0)))
+    rows = rows.withColumn("best", best_of("log")).withColumn("free", best_of("free_log"))
+    cells = rows.select("margin_s", (realised_s("free") - realised_s("best")).alias("gap"), (F.coalesce("best.label", F.lit("passthrough")) != F.coalesce("free.label", F.lit("passthrough"))).alias("flip"), F.coalesce("best.mode", F.lit("passthrough")).alias("mode"))
+    return cells.groupBy("margin_s").agg(F.count("*").alias("cells"), F.sum("gap").alias("total_regret_s"), F.avg("gap").alias("mean_regret_s"), F.count_if("flip").alias("flips"), F.avg((F.col("mode") == "passthrough").cast("int")).alias("bypass_rate"))
 
 
 def transport_verdict(link_gbps, break_even) -> Column:

@@ -85,3 +85,13 @@ def test_rollup_has_a_row_over_all_segments(spark):
     rows = spark.createDataFrame([("p", s, 1.0, 2.0) for s in (0, 1, 1)], "path string, segment int, raw_s double, compressed_s double")
     out = trials.ratio_rollup(rows, ["path"], "segment").collect()
     assert {r["segment"] for r in out} == {0, 1, None} and all(abs(r["ratio"] - 2) < 1e-12 for r in out)
+
+
+@pytest.mark.parametrize("name", ["policy_regret", "policy_decide"])
+def test_policy_broadcasts_literal_grids_alone(spark, tmp_path, name):
+    """Candidates are exploded from a table that looks small to Spark: they may not be broadcast."""
+    from quillon.plans import registry
+
+    spark.range(50).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"), (F.col("id") * 7.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
