@@ -87,7 +87,7 @@ def test_rollup_has_a_row_over_all_segments(spark):
     assert {r["segment"] for r in out} == {0, 1, None} and all(abs(r["ratio"] - 2) < 1e-12 for r in out)
 
 
-@pytest.mark.parametrize("name", ["policy_regret", "policy_decide"])
+@pytest.mark.parametrize("name", ["policy_regret", "policy_decide", "policy_considered_log"])
 def test_policy_broadcasts_literal_grids_alone(spark, tmp_path, name):
     """Candidates are exploded from a table that looks small to Spark: they may not be broadcast."""
     from quillon.plans import registry
